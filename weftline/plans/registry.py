@@ -1,6 +1,6 @@
 """All queries outside the llm subpackage."""
 
-from weftline.plans import problems
+from weftline.plans import problems, reference
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+QUERIES = {**problems.QUERIES, **reference.QUERIES}
+SQL = {**problems.SQL, **reference.SQL}
