@@ -389,15 +389,15 @@ query(
 
 
 def implied(g: Graph) -> DataFrame:
-    """Method sets read from the graph: types and interfaces with the first letters of the methods they define."""
-    own = g.nodes.where(F.col("kind").isin("type", "class", "interface")).select("repo", F.col("id").alias("src"), (F.col("kind") == "interface").alias("is_interface"))
+    """Method sets read from the graph: types, and classes in the part of interfaces, with the first letters of the methods they define."""
+    own = g.nodes.where(F.col("kind").isin("type", "class")).select("repo", F.col("id").alias("src"), (F.col("kind") == "class").alias("is_interface"))
     m = g.kind("defines").select("repo", "src", "dst").join(g.nodes.select("repo", F.col("id").alias("dst"), "name"), ["repo", "dst"])
     return own.join(m, ["repo", "src"]).select("repo", F.col("src").alias("owner"), "is_interface", F.lit(False).alias("generic"), F.lower(F.substring("name", 1, 1)).alias("signature"))
 
 
 query(
     "implements_derived",
-    f"""{G}, m AS (SELECT DISTINCT n.repo, n.id AS owner, n.kind = 'interface' AS i, lower(substr(b.name, 1, 1)) AS sig FROM n JOIN e ON e.repo = n.repo AND e.src = n.id AND e.kind = 'defines' JOIN n b ON b.repo = e.repo AND b.id = e.dst WHERE n.kind IN ('type', 'class', 'interface')),
+    f"""{G}, m AS (SELECT DISTINCT n.repo, n.id AS owner, n.kind = 'class' AS i, lower(substr(b.name, 1, 1)) AS sig FROM n JOIN e ON e.repo = n.repo AND e.src = n.id AND e.kind = 'defines' JOIN n b ON b.repo = e.repo AND b.id = e.dst WHERE n.kind IN ('type', 'class')),
     need AS (SELECT repo, owner, count(*) AS k FROM m WHERE i GROUP BY ALL)
     SELECT a.repo, a.owner AS src, b.owner AS dst FROM m a JOIN m b ON a.repo = b.repo AND a.sig = b.sig AND b.i AND NOT a.i GROUP BY a.repo, a.owner, b.owner HAVING count(*) = (SELECT k FROM need WHERE need.repo = a.repo AND need.owner = b.owner)""",
 )(lambda g, s, d: extract.implements(implied(g)))
