@@ -42,7 +42,7 @@ def parse_diff(lines: DataFrame, by: list[str] | None = None) -> DataFrame:
 def symbol_spans(g: Graph) -> DataFrame:
     """(repo, file, id, lo, hi): lines from each symbol's own to the one before the next symbol's; the last has no end (null).
 
-    Symbols of one line are ordered by id; all but the last of them get an empty span.
+    Symbols of one line are ordered by id; all but the last of them get a span that ends before it begins, so only a range that starts on an earlier line meets it.
     """
     n = g.nodes.where(F.col("kind").isin(*SYMBOL_KINDS) & (F.col("file") != "") & (F.col("line") > 0))
     return n.select("repo", "file", "id", F.col("line").alias("lo"), (F.lead("line").over(W.partitionBy("repo", "file").orderBy("line", "id")) - 1).alias("hi"))

@@ -26,7 +26,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     tree = hierarchy.hierarchy(table(spark, d, "edges"))
-    return tree.selectExpr("repo", "id", "root", "depth", "size", "array_join(path, '\n') AS path")
+    return tree.selectExpr("repo", "id", "root", "coalesce(depth, -1) AS depth", "coalesce(size, 0) AS size", "coalesce(array_join(path, '\n'), '') AS path")
 
 
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
@@ -95,7 +95,7 @@ SQL: dict[str, str] = {
           UNION ALL SELECT l.repo, i.parent, l.start, n + 1 FROM looping l JOIN ids i ON i.repo = l.repo AND i.id = l.id WHERE n < 60),
         on_loop AS (SELECT DISTINCT repo, id FROM looping WHERE id = start AND n > 0),
         under AS (SELECT repo, id, count(DISTINCT start) AS size FROM looping GROUP BY ALL)
-        SELECT repo, id, coalesce(down.root, '') AS root, depth, CASE WHEN on_loop.id IS NULL THEN coalesce(below.size, under.size) END AS size, path
+        SELECT repo, id, coalesce(down.root, '') AS root, coalesce(depth, -1) AS depth, CASE WHEN on_loop.id IS NULL THEN coalesce(below.size, under.size) ELSE 0 END AS size, coalesce(path, '') AS path
         FROM ids LEFT JOIN down USING (repo, id) LEFT JOIN below USING (repo, id) LEFT JOIN on_loop USING (repo, id) LEFT JOIN under USING (repo, id)""",
     "p2_descendants": f"""{TREE}, pairs AS (SELECT repo, id AS member, unnest(string_split(path, chr(10))) AS id FROM down)
         SELECT repo, id, CAST(0 AS BIGINT) AS block_no, string_agg(member, chr(10) ORDER BY member) AS members FROM pairs WHERE id <> member GROUP BY repo, id""",

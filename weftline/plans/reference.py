@@ -165,8 +165,8 @@ query(
     "api_impact",
     f"""{G}, up AS (SELECT DISTINCT repo, handler AS root, handler AS id, 0 AS depth FROM r WHERE handler <> '' UNION SELECT up.repo, root, c.src, depth + 1 FROM up JOIN c ON c.repo = up.repo AND c.dst = up.id WHERE depth < 40),
     b AS (SELECT repo, root, id, CAST(min(depth) AS BIGINT) AS depth FROM up GROUP BY ALL)
-    SELECT r.repo, r.ord, r.method, r.path, b.id, b.depth FROM r LEFT JOIN b ON b.repo = r.repo AND b.root = r.handler AND b.depth > 0""",
-)(lambda g, s, d: flow.api_impact(g))
+    SELECT r.repo, r.ord, r.method, r.path, coalesce(b.id, '') AS id, coalesce(b.depth, 0) AS depth FROM r LEFT JOIN b ON b.repo = r.repo AND b.root = r.handler AND b.depth > 0""",
+)(lambda g, s, d: flow.api_impact(g).withColumns({"id": F.coalesce("id", F.lit("")), "depth": F.coalesce("depth", F.lit(0))}))
 query(
     "file_enrich",
     f"""{G}, {SEED}, fl AS (SELECT n.repo, n.file FROM n JOIN s ON s.repo = n.repo AND s.id = n.id), o AS (SELECT n.repo, n.file, n.id FROM n JOIN fl ON fl.repo = n.repo AND fl.file = n.file WHERE n.file <> ''),
@@ -240,7 +240,7 @@ def ranges(g: Graph) -> DataFrame:
     return last.select("repo", "file", F.explode(F.sequence(F.lit(5), F.col("last"), F.lit(50))).alias("lo")).withColumn("hi", F.col("lo") + 2)
 
 
-query("symbol_spans", f"{SPANS} SELECT repo, file, id, lo, hi FROM sp")(lambda g, s, d: changes.symbol_spans(g))
+query("symbol_spans", f"{SPANS} SELECT repo, file, id, lo, coalesce(hi, -1) AS hi FROM sp")(lambda g, s, d: changes.symbol_spans(g).withColumn("hi", F.coalesce("hi", F.lit(-1))))
 query("detect_changed", f"{SPANS} SELECT * FROM ch")(lambda g, s, d: changes.changed_symbols(g, ranges(g)))
 query("detect_impacted", f"{SPANS}, up AS (SELECT repo, id FROM ch UNION SELECT up.repo, c.src FROM up JOIN c ON c.repo = up.repo AND c.dst = up.id) SELECT repo, id FROM up WHERE NOT EXISTS (SELECT 1 FROM ch WHERE ch.repo = up.repo AND ch.id = up.id)")(
     lambda g, s, d: changes.impacted(g, changes.changed_symbols(kept(g), ranges(g)))

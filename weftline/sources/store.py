@@ -57,7 +57,7 @@ def save(g: Graph, path: str) -> None:
 
 def stored(spark: SparkSession, path: str) -> Graph:
     """The graph that save wrote. A filter on repo reads that repo's files only."""
-    read = lambda name, s: spark.read.schema(s).parquet(f"{path}/{name}")
+    read = lambda name, s: spark.read.schema(s).parquet(f"{path}/{name}").select(*[c.split()[0] for c in s.split(", ") if " " in c])  # noqa: E731  the partition column comes last in files
     try:
         shapes = read("shapes", schema.SHAPES)
         shapes.limit(0).collect()
