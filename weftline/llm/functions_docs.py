@@ -442,20 +442,25 @@ def functions(file: str | None, lang: str | None, content: str | None) -> list[t
     return out
 
 
-def pairs(sources: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """(repo, file, line, name, code, description) of each function whose comment describes it.
+def documented(sources: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """(repo, file, line, name, code, description) of each function whose comment describes it, as often as its file is delivered.
 
-    Repeated rows count once: files are made distinct by a hash of their content before they are read. Columns besides repo, file, lang and
-    content are not read.
+    Columns besides repo, file, lang and content are not read. Nothing is shuffled.
     """
-    files = sources.select("repo", "file", "lang", "content").where("content <> ''").dropDuplicates(["repo", "file", "content"])
+    files = sources.select("repo", "file", "lang", "content").where("content <> ''")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for repo, file, lang, content in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                rows += [(repo, file, line, name, code, said) for line, name, code, _, said in functions(file, lang, content) if describes(said, name, least)]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()), strict=True)], ["repo", "file", "line", "name", "code", "description"])
+            for s in range(0, b.num_rows, 256):
+                rows = []
+                for repo, file, lang, content in zip(*(c.to_pylist() for c in b.slice(s, 256).columns), strict=True):
+                    rows += [(repo, file, line, name, code, said) for line, name, code, _, said in functions(file, lang, content) if describes(said, name, least)]
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()), strict=True)], ["repo", "file", "line", "name", "code", "description"])
+
+    return files.mapInArrow(run, "repo string, file string, line int, name string, code string, description string")
 
-    return files.mapInArrow(run, "repo string, file string, line int, name string, code string, description string").dropDuplicates(["repo", "file", "line", "code"])
+
+def pairs(sources: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """The same, once for repeated rows."""
+    return documented(sources, least).distinct()
