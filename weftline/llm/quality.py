@@ -11,6 +11,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import pyarrow as pa
 import regex as re
@@ -30,8 +31,9 @@ COMMON = {
     "tr": "ve bir bu da de için ile çok ne o daha gibi kadar ama her ben var mı sonra olarak olan en değil ki ya diye".split(),
     "ru": "и в не на я быть он с что а по это она этот к но они мы весь который из у то за свой от так о для ты же все год человек как если или бы его только когда уже был до".split(),
 }
-_ANY = frozenset(w for words in COMMON.values() for w in words)
-_SETS = {k: frozenset(v) for k, v in COMMON.items()}
+_FIELD = 24
+_COUNTS = {w: sum(1 << (_FIELD * i) for i, words in enumerate(COMMON.values()) if w in words) for words in COMMON.values() for w in words}
+"""Per word one count in the field of each language it is common in, so that one sum counts for all languages."""
 
 _WORD = re.compile(r"[\p{L}\p{M}\p{N}_]+(?:['’\-][\p{L}\p{M}\p{N}_]+)*")
 _PART = re.compile(r"[\p{L}\p{M}]+")
@@ -56,14 +58,19 @@ _MOJIBAKE = re.compile(r"\ufffd|[ÂÃÐÑ][\u0080-\u00bf]|â€|ï¿½|[\u0080-\
 
 def _words(text: str) -> int:
     """Words; scripts without blanks count two characters as one."""
+    if text.isascii() or not _CJK.search(text):
+        return len(_WORD.findall(text))
     cjk = len(_CJK.findall(text))
-    return (len(_WORD.findall(_CJK.sub(" ", text))) if cjk else len(_WORD.findall(text))) + (cjk + 1) // 2
+    return len(_WORD.findall(_CJK.sub(" ", text))) + (cjk + 1) // 2
 
 
 def _common(text: str) -> tuple[int, int]:
     """(words, common words) of the best-fitting language; single letters, which any noise has, don't count."""
-    words = [w.lower() for w in _PART.findall(text) if len(w) > 1]
-    return len(words), max((sum(w in s for w in words) for s in _SETS.values()), default=0)
+    words = [w for w in _PART.findall(text.lower()) if len(w) > 1]
+    total, best = sum(map(_COUNTS.get, words, repeat(0))), 0
+    while total:
+        best, total = max(best, total & ((1 << _FIELD) - 1)), total >> _FIELD
+    return len(words), best
 
 
 def statistics(text: str | None) -> dict[str, float]:
@@ -96,18 +103,25 @@ def statistics(text: str | None) -> dict[str, float]:
     return out
 
 
+_TIGHT = [(sep, re.compile(re.escape(sep) + r"(?=\S)"), re.compile(re.escape(sep) + r"\s")) for sep in (";", ",", "~", "^", "¦")]
+_GAP, _BARS, _STOP, _STOPS = re.compile(r"[ \u00a0]{2,}"), re.compile(r"[|│┃]+"), re.compile(r"[.!?。！？]$"), re.compile(r"[.!?。！？]\s")
+_GRID = re.compile(r"[|+┼├┤│┬┴═]|-\s+-|=\s+=")
+_SEPARATORS = [re.compile(x) for x in (r"[,，、]\s*", r"[;；]\s*", r"\s*[|/·•]\s+", r"\s+[-–—]\s+")]
+_LINES = re.compile(r"\r\n|\r|\n|\u2028|\u2029|\x85")
+_PATH = re.compile(r"(?:https?|ftp)://|[\w.@~-]*(?:/[\w.@~{}:-]+)+$")
+
+
 def _cells(line: str) -> tuple[str, int]:
     """The separator that cuts the line into cells and how many; ('', 1) if none does."""
     s = line.strip()
     if s.count("|") >= 1 or "│" in s or "┃" in s:
-        return "|", max(2, len([c for c in re.split(r"[|│┃]+", s) if c.strip()]))
+        return "|", max(2, len([c for c in _BARS.split(s) if c.strip()]))
     if "\t" in s:
         return "\t", s.count("\t") + 1
-    for sep in (";", ",", "~", "^", "¦"):
-        k = len(re.findall(re.escape(sep) + r"(?=\S)", s))
-        if k and not re.search(re.escape(sep) + r"\s", s):
+    for sep, tight, loose in _TIGHT:
+        if sep in s and not loose.search(s) and (k := len(tight.findall(s))):
             return sep, k + 1
-    parts = re.split(r"[ \u00a0]{2,}", s)
+    parts = _GAP.split(s) if "  " in s or "\u00a0" in s else [s]
     return ("  ", len(parts)) if len(parts) > 1 else ("", 1)
 
 
@@ -130,16 +144,16 @@ def _noise(line: str) -> bool:
     """A long line that is no language: encoded data, minified code, damaged or random characters, words without sentences."""
     s = line.strip()
     n = len(s)
-    cjk = len(_CJK.findall(s))
+    cjk = 0 if s.isascii() else len(_CJK.findall(s))
     bad = sum(map(len, _MOJIBAKE.findall(s)))
     if bad and bad >= 0.04 * n:
         return True
     if cjk > 0.3 * n:
         return False
-    letters = sum(c.isalpha() for c in s)
+    letters = sum(map(str.isalpha, s))
     longest = max(map(len, s.split()), default=0)
     if n >= 30 and longest > 0.6 * n and longest >= 30:
-        return not re.match(r"(?:https?|ftp)://|[\w.@~-]*(?:/[\w.@~{}:-]+)+$", max(s.split(), key=len)) or longest > 200
+        return not _PATH.match(max(s.split(), key=len)) or longest > 200
     if n >= 20 and letters < 0.35 * n:
         return True
     k, common = _common(s)
@@ -153,13 +167,13 @@ def _noise(line: str) -> bool:
 
 def _inline(par: str) -> bool:
     """Items one after another within a paragraph, cut by commas, semicolons, bars or the like."""
-    if sum(c.isalnum() for c in par) < 0.5 * len(par):
+    if sum(map(str.isalnum, par)) < 0.5 * len(par):
         return False
-    for sep in (r"[,，、]\s*", r"[;；]\s*", r"\s*[|/·•]\s+", r"\s+[-–—]\s+"):
-        parts = [p.strip() for p in re.split(sep, par.strip(" .。,，;；、"))]
-        if len(parts) >= 5:
+    for sep in _SEPARATORS:
+        parts = [p.strip() for p in sep.split(par.strip(" .。,，;；、"))]
+        if len(parts) >= 5 and len(par) <= 60 * len(parts):
             sizes = [_words(p) for p in parts]
-            if sum(sizes) <= 3.6 * len(parts) and max(sizes) <= 9 and sum(bool(re.search(r"[.!?。！？]\s", p)) for p in parts) <= 0.1 * len(parts):
+            if sum(sizes) <= 3.6 * len(parts) and max(sizes) <= 9 and sum(bool(_STOPS.search(p)) for p in parts) <= 0.1 * len(parts):
                 return True
     return False
 
@@ -167,15 +181,17 @@ def _inline(par: str) -> bool:
 def _short(line: str) -> bool:
     """Could be an item without a mark: a few words that make no sentence."""
     s = line.strip()
+    if len(s) > 120:
+        return False
     w = _words(s)
     if w > 8 or _CJK.search(s) and w > 7:
         return False
-    return not re.search(r"[.!?。！？]$", s) or w <= 4
+    return not _STOP.search(s) or w <= 4
 
 
 def line_kinds(text: str) -> list[tuple[str, int]]:
     """(kind, characters) of each line that isn't blank; kinds are prose, code, list, table and junk."""
-    lines = [x for x in re.split(r"\r\n|\r|\n|\u2028|\u2029|\x85", text)]
+    lines = _LINES.split(text)
     kinds: list[str] = [""] * len(lines)
     fence = False
     for i, x in enumerate(lines):
@@ -197,7 +213,7 @@ def line_kinds(text: str) -> list[tuple[str, int]]:
         if _HTML_ROW.search(x) or _LATEX.search(x):
             kinds[i] = "table"
             continue
-        if len(x.strip()) >= 5 and _RULE.match(x) and re.search(r"[|+┼├┤│┬┴═]|-\s+-|=\s+=", x.strip()) and len(set(x.strip())) > 1:
+        if len(x.strip()) >= 5 and _RULE.match(x) and _GRID.search(x.strip()) and len(set(x.strip())) > 1:
             kinds[i] = "table"
             continue
         sep, k = cells[i]
@@ -242,7 +258,7 @@ def line_kinds(text: str) -> list[tuple[str, int]]:
         if len(run) >= 3:
             words = [_words(lines[i]) for i in run]
             k, common = _common(" ".join(lines[i] for i in run))
-            ends = sum(bool(re.search(r"[.!?。！？]$", lines[i].strip())) for i in run)
+            ends = sum(bool(_STOP.search(lines[i].strip())) for i in run)
             if sum(words) <= 5.2 * len(run) and ends <= 0.2 * len(run) and common <= 0.38 * max(k, 1):
                 for i in run:
                     kinds[i] = "list"
@@ -260,8 +276,7 @@ def line_kinds(text: str) -> list[tuple[str, int]]:
     left = [i for i in rest if not kinds[i]]
     if left:
         k, common = _common(" ".join(lines[i] for i in left))
-        cjk = sum(len(_CJK.findall(lines[i])) for i in left)
-        if k >= 12 and common < 0.08 * k and cjk < k:
+        if k >= 12 and common < 0.08 * k and sum(len(_CJK.findall(lines[i])) for i in left) < k:
             for i in left:
                 kinds[i] = "junk"
     return [(kinds[i] if kinds[i] not in ("", "head") else "prose", len(lines[i].strip())) for i, x in enumerate(lines) if x.strip()]
