@@ -262,7 +262,9 @@ def _js_functions(text: str, t: _Tokens) -> Iterator[tuple[int, str, int, int, _
         before = word[i - 1] if i else ""
         if k == "p" and x in _CLOSE:
             if x == "{":
-                if pending:
+                if pending == "class" and before in ("<", ",", ":", "(", "|", "&"):  # within what the class extends
+                    what = "type"
+                elif pending:
                     what, pending = pending, ""
                 elif i and (before in ("=", "(", ",", "[", ":", "?", "return", "default", "\0") and kind[i - 1] in "pw" or (kind[i - 1] == "o" and before in "&|!+-") or (before in ("in", "of", "throw", "yield", "await", "new") and kind[i - 1] == "w")):
                     what = "object"

@@ -8,7 +8,6 @@ it holds more than half of the text's characters. Documents are independent: one
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -105,6 +104,7 @@ def statistics(text: str | None) -> dict[str, float]:
 
 _TIGHT = [(sep, re.compile(re.escape(sep) + r"(?=\S)"), re.compile(re.escape(sep) + r"\s")) for sep in (";", ",", "~", "^", "¦")]
 _GAP, _BARS, _STOP, _STOPS = re.compile(r"[ \u00a0]{2,}"), re.compile(r"[|│┃]+"), re.compile(r"[.!?。！？]$"), re.compile(r"[.!?。！？]\s")
+_BLANKS, _PARTS = re.compile(r"\s+"), re.compile(r"[.!?。！？]+(?:\s|$)|[。！？]|[\r\n]+")
 _GRID = re.compile(r"[|+┼├┤│┬┴═]|-\s+-|=\s+=")
 _SEPARATORS = [re.compile(x) for x in (r"[,，、]\s*", r"[;；]\s*", r"\s*[|/·•]\s+", r"\s+[-–—]\s+")]
 _LINES = re.compile(r"\r\n|\r|\n|\u2028|\u2029|\x85")
@@ -126,18 +126,29 @@ def _cells(line: str) -> tuple[str, int]:
 
 
 def _repeated(text: str) -> bool:
-    """The same thing over and over: one short unit, or one line, makes up most of the text."""
-    s = re.sub(r"\s+", " ", text.strip())
-    if len(s) < 40:
+    """The same thing over and over: a few characters, one unit from end to end, or one sentence, line, word or pair of words that covers most of the text."""
+    s = _BLANKS.sub(" ", text.strip())
+    n = len(s)
+    if n < 40:
         return False
     if len(set(s)) <= 3:
         return True
-    body = s.encode()
-    if len(zlib.compress(body[: 1 << 20], 6)) / min(len(body), 1 << 20) < (0.06 if len(body) > 400 else 0.12):
+    period = s.find(s[: min(24, n // 3)], 1)
+    if 0 < period <= n // 3 and s.startswith(s[period:]):
+        return True
+    parts = [x for x in map(str.strip, _PARTS.split(text)) if x]
+    top, k = Counter(parts).most_common(1)[0]
+    if k >= 4 and k * len(top) > (0.5 if any(map(str.isalnum, top)) else 0.8) * sum(map(len, parts)):  # rules between the rows of a table are no text
+        return True
+    words = s.lower().split(" ")
+    if len(words) < 10:
+        return False
+    whole = sum(map(len, words))
+    top, k = Counter(words).most_common(1)[0]
+    if k * len(top) > 0.5 * whole:
         return True
-    lines = [x.strip() for x in re.split(r"[\r\n]+", text) if x.strip()]
-    top, k = Counter(lines).most_common(1)[0]
-    return k >= 4 and k * len(top) > 0.6 * sum(map(len, lines))
+    pair, k = Counter(zip(words, words[1:], strict=False)).most_common(1)[0]
+    return k * sum(map(len, pair)) > 0.8 * whole
 
 
 def _noise(line: str) -> bool:
