@@ -145,7 +145,7 @@ def _repeated(text: str) -> bool:
         return False
     whole = sum(map(len, words))
     top, k = Counter(words).most_common(1)[0]
-    if k * len(top) > 0.5 * whole:
+    if k * len(top) > (0.7 if any(map(str.isalnum, top)) else 0.8) * whole:
         return True
     pair, k = Counter(zip(words, words[1:], strict=False)).most_common(1)[0]
     return k * sum(map(len, pair)) > 0.8 * whole
