@@ -354,10 +354,11 @@ def _js_functions(text: str, t: _Tokens) -> Iterator[tuple[int, str, int, int, _
         i += 1
 
 
-_TAG = re.compile(r"^\s*(?:@|\\[a-z]+\b)")
+_TAG = re.compile(r"^\s*(?:\{?@|\\[a-z]+\b)")
 # How notes to compilers, linters, formatters and coverage tools begin.
 _TOOL = re.compile(
-    r"^\s*(?:go:\w|\+build\b|line\s+\S+:\d|nolint\b|lint:|export\s+\w+$|eslint\b|eslint-|tslint:|jshint\b|jslint\b|jscs:|global\s+\w+|globals\s|prettier-|biome-|deno-|@ts-|ts-|istanbul\b|c8\s|v8\s+ignore|nyc\b|webpack\w*:|@?vite-|#__|@__|#\s*source|# sourceMappingURL|flow\b|noinspection\b|region\b|endregion\b|#region|#endregion|stylelint|cspell\b|spell-?checker\b|sonar\b|nosonar\b|codacy\b|coverage\b|swagger:|gosec\b|#nosec|revive:|staticcheck|errcheck|nosec\b|tool:|pragma\b|exhaustive\b|gocyclo|golangci|oxlint|standard-|vue/|i18n-)",
+    r"^\s*(?:go:\w|\+build\b|line\s+\S+:\d|nolint\b|lint:|export\s+\w+$|code generated .*do not edit|eslint-|eslint\s+[\w/-]+:|tslint:|jshint\s+\w+:|jslint\s|jscs:|globals?\s+[\w$]+(?:\s*:\s*\w+)?(?:\s*,\s*[\w$]+(?:\s*:\s*\w+)?)+$"
+    r"|prettier-ignore|biome-ignore|oxlint-|deno-(?:lint|fmt)-|ts-(?:ignore|expect-error|nocheck|check)\b|istanbul\s+ignore|c8\s+ignore|v8\s+ignore|nyc\s+ignore|webpack\w*:|vite-ignore|#?\s*__PURE__|#\s*source|noinspection\b|#(?:end)?region|stylelint-|cspell:|spell-?checker:|sonar:|nosonar\b|codacy:|coverage:|swagger:|#?nosec\b|gosec:|revive:|exhaustive:|staticcheck:|errcheck:|gocyclo:|golangci|language=|<reference\b|<amd-|vim?:\s*\w+=|-\*-)",
     re.I,
 )
 _WORD = re.compile(r"\p{Han}|\p{Hiragana}|\p{Katakana}|[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*")

@@ -20,6 +20,8 @@ from weftline.llm.tokens import count_tokens
 from weftline.sources.scratch import keep
 
 RANGES = 1 << 14
+MOST_SOURCES = 10_000
+"""Most sources with a share: their table is the one thing that is broadcast."""
 
 
 def sainte_lague(weights: dict[str, float], blocks: int) -> list[str]:
@@ -47,10 +49,13 @@ def plan(sized: DataFrame, targets: DataFrame, shards: int = 100, blocks_per_sha
     driver. Null or non-positive weights and repeats below 1 have no share. Of several rows for a source the first by weight
     holds. Sources without tokens get no blocks; the others share the whole by their weights.
     """
+    wanted = targets.select("source", "weight", "max_repeats").where("source IS NOT NULL AND weight > 0 AND max_repeats >= 1").limit(MOST_SOURCES + 1).collect()
+    if len(wanted) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources have a share")
     rows = {}
-    for r in sorted(targets.select("source", "weight", "max_repeats").where("source IS NOT NULL AND weight > 0 AND max_repeats >= 1").collect(), key=lambda r: (r.source, r.weight)):
+    for r in sorted(wanted, key=lambda r: (r.source, r.weight)):
         rows.setdefault(r.source, {"source": r.source, "weight": float(r.weight), "max_repeats": int(r.max_repeats)})
-    named = F.broadcast(targets.select("source").distinct())  # one row per listed source
+    named = F.broadcast(sized.sparkSession.createDataFrame([(s,) for s in rows], "source string"))
     have = {r.source: (r.tokens, r.docs) for r in sized.where("n_tokens > 0").join(named, "source").groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")).collect()}
     for r in rows.values():
         r["tokens"], r["docs"] = have.get(r["source"], (0, 0))
