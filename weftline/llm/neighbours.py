@@ -3,11 +3,12 @@
 Score-aware quantisation for maximum inner product: vectors of length one are cut into a coarse centroid and a residual, whose
 16 parts of 4 numbers are coded with 4 bits each. Centres and codes minimise a loss that weighs the error along the vector
 (which changes its score against its neighbours) `ETA` times as much as the error across it. A query reads tables of 16 scores per
-part, added over the codes of the lists it probes; the best of each list are scored again with their exact vectors.
+part, added over the codes of the lists it probes; the best of each list are scored again with their exact vectors. Lists that
+lie close together form an area, and a query travels once to each area that it probes, not once to each list.
 
 The codebooks are fitted on the driver to a bounded sample (`SAMPLE` vectors); everything else runs over all vectors.
-Exact copies are collapsed before the search and expanded after it, so that a vector under many ids costs one entry. Lists are cut into
-blocks of bounded size, and so are the queries that meet them: no task holds more than BLOCK vectors and QUERIES queries.
+Exact copies are collapsed before the search and expanded after it, so that a vector under many ids costs one entry. Areas are cut into
+blocks of bounded size, and so are the queries that meet them: no task holds more than about BLOCK vectors and QUERIES queries.
 """
 
 from __future__ import annotations
@@ -32,16 +33,20 @@ SAMPLE = 32_768
 LIST = 512
 """Vectors per list, on average, up to MOST_LISTS lists."""
 MOST_LISTS = 4_096
-BLOCK, QUERIES = 8_192, 32_768
-PROBES, RERANK = 10, 40
+AREA = 16
+"""Lists per area, on average."""
+BLOCK, QUERIES = 32_768, 65_536
+PROBES, NEAR_PROBES, RERANK = 16, 8, 40
+"""Lists that a query probes: for its nearest at any distance, and for those of a cosine of at least 0.85, which lie in fewer lists."""
 
 
 @dataclass
 class Codebook:
-    """coarse: lists x DIM, unit length. fine: PARTS x CENTRES x DIM/PARTS."""
+    """coarse: lists x DIM, unit length. fine: PARTS x CENTRES x DIM/PARTS. area: the area of each list."""
 
     coarse: np.ndarray
     fine: np.ndarray
+    area: np.ndarray
 
 
 def _codes(x: np.ndarray, r: np.ndarray, fine: np.ndarray, sweeps: int = 2) -> np.ndarray:
@@ -65,18 +70,22 @@ def _codes(x: np.ndarray, r: np.ndarray, fine: np.ndarray, sweeps: int = 2) -> n
     return codes
 
 
+def _means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int) -> np.ndarray:
+    """Spherical k-means of unit vectors."""
+    k = max(1, min(k, len(x)))
+    centres = x[rng.choice(len(x), k, replace=False)].copy()
+    for _ in range(rounds):
+        sums = np.zeros(centres.shape, np.float64)
+        np.add.at(sums, _nearest(x, centres, 1)[:, 0], x)
+        size = np.linalg.norm(sums, axis=1)
+        centres = np.where((size < 1e-9)[:, None], x[rng.integers(0, len(x), k)], sums / np.maximum(size, 1e-9)[:, None]).astype(np.float32)
+    return centres
+
+
 def fit(sample: np.ndarray, lists: int, seed: int = 0, rounds: int = 8) -> Codebook:
     """Codebooks from a sample of unit vectors: spherical k-means, then score-aware centres of each part."""
     rng = np.random.default_rng(seed)
-    lists = max(1, min(lists, len(sample)))
-    coarse = sample[rng.choice(len(sample), lists, replace=False)].copy()
-    for _ in range(rounds):
-        own = _nearest(sample, coarse, 1)[:, 0]
-        sums = np.zeros_like(coarse, np.float64)
-        np.add.at(sums, own, sample)
-        size = np.linalg.norm(sums, axis=1)
-        empty = size < 1e-9
-        coarse = np.where(empty[:, None], sample[rng.integers(0, len(sample), lists)], sums / np.maximum(size, 1e-9)[:, None]).astype(np.float32)
+    coarse = _means(sample, lists, rng, rounds)
     r = sample - coarse[_nearest(sample, coarse, 1)[:, 0]]
     w = DIM // PARTS
     xs, rs = sample.reshape(-1, PARTS, w), r.reshape(-1, PARTS, w)
@@ -95,7 +104,8 @@ def fit(sample: np.ndarray, lists: int, seed: int = 0, rounds: int = 8) -> Codeb
                 on = codes[:, m] == c
                 if on.any():
                     fine[m, c] = np.linalg.solve(left[on].sum(0), right[on].sum(0))
-    return Codebook(coarse.astype(np.float32), fine.astype(np.float32))
+    areas = _means(coarse, -(-len(coarse) // AREA), rng, rounds)
+    return Codebook(coarse, fine.astype(np.float32), _nearest(coarse, areas, 1)[:, 0])
 
 
 def _nearest(x: np.ndarray, coarse: np.ndarray, k: int, step: int = 4096) -> np.ndarray:
@@ -134,61 +144,87 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
     return one.mapInArrow(run, "id string, vec binary")
 
 
-def _coded(rows: DataFrame, book: Codebook) -> DataFrame:
-    """(id, vec, list, codes, probes)."""
+def _coded(rows: DataFrame, book: Codebook, n_probes: int) -> DataFrame:
+    """(id, vec, area, list, codes, asks): asks are the areas that the vector, as a query, probes, with the lists in each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _matrix(b.column(1), DIM, np.float32)
-            probes = _nearest(x, book.coarse, PROBES)
+            probes = _nearest(x, book.coarse, n_probes)
             codes = _codes(x, x - book.coarse[probes[:, 0]], book.fine)
             packed = (codes[:, 0::2] << 4) | codes[:, 1::2]
+            where = book.area[probes]
+            asks = [[{"area": a, "lists": p[w == a].tolist()} for a in np.unique(w).tolist()] for p, w in zip(probes, where, strict=True)]
+            kind = pa.list_(pa.struct([("area", pa.int32()), ("lists", pa.list_(pa.int32()))]))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(probes[:, 0]), pa.array([c.tobytes() for c in packed], pa.binary()), pa.array(probes.tolist(), pa.list_(pa.int32()))], ["id", "vec", "list", "codes", "probes"]
+                [b.column(0), b.column(1), pa.array(where[:, 0]), pa.array(probes[:, 0]), pa.array([c.tobytes() for c in packed], pa.binary()), pa.array(asks, kind)], ["id", "vec", "area", "list", "codes", "asks"]
             )
 
-    return rows.mapInArrow(run, "id string, vec binary, list int, codes binary, probes array<int>")
+    return rows.mapInArrow(run, "id string, vec binary, area int, list int, codes binary, asks array<struct<area:int,lists:array<int>>>")
+
+
+def _scan(q: np.ndarray, qid: np.ndarray, d: np.ndarray, did: np.ndarray, codes: np.ndarray, book: Codebook, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places in d, scores) of the k best of one list for each query; the query itself scores -inf. did is sorted, so ties go to the smaller id."""
+    if len(d) > RERANK + 1:
+        table = np.einsum("qmw,mcw->qmc", q.reshape(-1, PARTS, DIM // PARTS), book.fine)
+        pairs = (table[:, 0::2, :, None] + table[:, 1::2, None, :]).reshape(len(q), PARTS // 2, 256)  # two codes per byte
+        score = pairs[:, 0][:, codes[0]]
+        for m in range(1, PARTS // 2):
+            score += pairs[:, m][:, codes[m]]
+        top = np.argpartition(-score, RERANK, axis=1)[:, : RERANK + 1]
+        top.sort(axis=1)
+    else:
+        top = np.tile(np.arange(len(d)), (len(q), 1))
+    exact = np.einsum("qd,qrd->qr", q.astype(np.float64), d[top].astype(np.float64))
+    exact[did[top] == qid[:, None]] = -np.inf
+    best = np.argsort(-exact, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(top, best, 1), np.take_along_axis(exact, best, 1)
 
 
 def _search(book: Codebook, k: int, least: float):
-    """Queries and vectors of one (list, block, query block): the k best of the block for each query, exactly scored."""
+    """Queries and vectors of one (area, block, query block): the k best of the block for each query, exactly scored."""
 
     def run(t: pa.Table) -> pa.Table:
         is_query = t.column("query").to_numpy(zero_copy_only=False).astype(bool)
         ids = np.array(t.column("id").to_pylist(), object)
         vecs = _matrix(t.column("vec"), DIM, np.float32)
+        lists = t.column("lists").to_pylist()
         qid, q = ids[is_query], vecs[is_query]
         did, d = ids[~is_query], vecs[~is_query]
-        got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        out = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]  # query, vector, score
         if len(did) and len(qid):
-            order = np.argsort(did, kind="stable")  # ties go to the smaller id
-            did, d = did[order], d[order]
-            codes = _matrix(t.filter(pa.array(~is_query)).column("codes"), PARTS // 2, np.uint8)[order].T.copy()
-            for s in range(0, len(q), 512):
-                part = q[s : s + 512]
-                if len(d) > RERANK + 1:
-                    table = np.einsum("qmw,mcw->qmc", part.reshape(-1, PARTS, DIM // PARTS), book.fine)
-                    pairs = (table[:, 0::2, :, None] + table[:, 1::2, None, :]).reshape(len(part), PARTS // 2, 256)  # two codes per byte
-                    score = pairs[:, 0][:, codes[0]]
-                    for m in range(1, PARTS // 2):
-                        score += pairs[:, m][:, codes[m]]
-                    top = np.argpartition(-score, RERANK, axis=1)[:, : RERANK + 1]
-                    top.sort(axis=1)
-                else:
-                    top = np.tile(np.arange(len(d)), (len(part), 1))
-                exact = np.einsum("qd,qrd->qr", part.astype(np.float64), d[top].astype(np.float64))
-                exact[did[top] == qid[s : s + 512][:, None]] = -np.inf
-                best = np.argsort(-exact, axis=1, kind="stable")[:, :k]
-                value = np.take_along_axis(exact, best, 1)
-                row, col = np.nonzero(value >= least)
-                got.append((qid[s : s + 512][row], did[np.take_along_axis(top, best, 1)[row, col]], value[row, col]))
-        a, b, c = (np.concatenate(x) for x in zip(*got, strict=True)) if got else ([], [], [])
-        return pa.table({"id": pa.array(a, pa.string()), "other": pa.array(b, pa.string()), "score": pa.array(c, pa.float64())})
+            codes = _matrix(t.filter(pa.array(~is_query)).column("codes"), PARTS // 2, np.uint8)
+            asked: dict[int, list[int]] = {}
+            for i, ls in enumerate(x for x, y in zip(lists, is_query, strict=True) if y):
+                for x in ls:
+                    asked.setdefault(x, []).append(i)
+            own = np.fromiter((x[0] for x, y in zip(lists, is_query, strict=True) if not y), np.int64, len(did))
+            order = np.lexsort((did, own))
+            starts = np.searchsorted(own[order], [*asked, *(x + 1 for x in asked)])
+            for (_, who), lo, hi in zip(asked.items(), starts[: len(asked)], starts[len(asked) :], strict=True):
+                at = order[lo:hi]
+                part = codes[at].T.copy()
+                for s in range(0, len(who) if len(at) else 0, 512):
+                    w = np.array(who[s : s + 512])
+                    place, value = _scan(q[w], qid[w], d[at], did[at], part, book, k)
+                    row, col = np.nonzero(value >= least)
+                    out[0].append(w[row])
+                    out[1].append(at[place[row, col]])
+                    out[2].append(value[row, col])
+        a, b, c = (np.concatenate(x) for x in out)
+        if len(a):  # the k best of all lists of the block
+            rank = np.argsort(np.argsort(did, kind="stable"), kind="stable")
+            order = np.lexsort((rank[b], -c, a))
+            a, b, c = a[order], b[order], c[order]
+            first = np.searchsorted(a, a)
+            keep_ = np.arange(len(a)) - first < k
+            a, b, c = a[keep_], b[keep_], c[keep_]
+        return pa.table({"id": pa.array(qid[a], pa.string()), "other": pa.array(did[b], pa.string()), "score": pa.array(c, pa.float64())})
 
     return run
 
 
-def neighbours(vectors: DataFrame, k: int = 5, least: float = -2.0) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 5, least: float = -2.0, probes: int = PROBES) -> DataFrame:
     """(id, other, score): the k other ids of highest cosine for each id, those of at least `least`; ties go to the smaller id.
 
     The search is approximate (see the README for measured recall), the scores are exact. Fewer than k + 1 vectors give fewer rows,
@@ -205,16 +241,16 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = -2.0) -> DataFrame
     share = min(1.0, 1.05 * SAMPLE / n)
     sample = classes.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("vec").limit(SAMPLE).toArrow()
     book = fit(_matrix(sample.column("vec"), DIM, np.float32).copy() if sample.num_rows else np.eye(1, DIM, dtype=np.float32), min(MOST_LISTS, max(1, round(n / LIST))))
-    coded = keep(_coded(classes.select(F.col("rep").alias("id"), "vec"), book), "coded")
-    # lists and their queries in blocks of bounded size; there are at most MOST_LISTS rows of sizes
-    held = {r["list"]: r["n"] for r in coded.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
-    asked = {r["list"]: r["n"] for r in coded.select(F.explode("probes").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
-    cuts = F.broadcast(spark.createDataFrame([(x, 1 + m // BLOCK, 1 + asked.get(x, 0) // QUERIES) for x, m in held.items()], "list int, blocks int, qblocks int"))
+    coded = keep(_coded(classes.select(F.col("rep").alias("id"), "vec"), book, probes), "coded")
+    # areas and their queries in blocks of bounded size; there are at most MOST_LISTS rows of sizes
+    held = {r.area: r.n for r in coded.groupBy("area").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ask = coded.select("id", "vec", F.explode("asks").alias("ask")).select("id", "vec", "ask.area", "ask.lists")
+    asked = {r.area: r.n for r in coded.select(F.explode("asks.area").alias("area")).groupBy("area").agg(F.count(F.lit(1)).alias("n")).collect()}
+    cuts = F.broadcast(spark.createDataFrame([(x, 1 + m // BLOCK, 1 + asked.get(x, 0) // QUERIES) for x, m in held.items()], "area int, blocks int, qblocks int"))
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    data = coded.join(cuts, "list").select("list", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), every("qblocks").alias("qblock"), F.lit(False).alias("query"), "id", "vec", "codes")
-    asks = coded.select("id", "vec", F.explode("probes").alias("list")).join(cuts, "list")
-    asks = asks.select("list", every("blocks").alias("block"), F.pmod(F.xxhash64("id"), F.col("qblocks")).cast("int").alias("qblock"), F.lit(True).alias("query"), "id", "vec", F.lit(None).cast("binary").alias("codes"))
-    near = data.unionByName(asks).groupBy("list", "block", "qblock").applyInArrow(_search(book, k, least), "id string, other string, score double")
+    data = coded.join(cuts, "area").select("area", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), every("qblocks").alias("qblock"), F.lit(False).alias("query"), "id", "vec", "codes", F.array("list").alias("lists"))
+    asks = ask.join(cuts, "area").select("area", every("blocks").alias("block"), F.pmod(F.xxhash64("id"), F.col("qblocks")).cast("int").alias("qblock"), F.lit(True).alias("query"), "id", "vec", F.lit(None).cast("binary").alias("codes"), "lists")
+    near = data.unionByName(asks).groupBy("area", "block", "qblock").applyInArrow(_search(book, k, least), "id string, other string, score double")
     best = W.partitionBy("id").orderBy(F.desc("score"), "other")
     near = keep(near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r"), "near")  # between classes
     if not classes.where("copies > 1").take(1):
@@ -235,5 +271,5 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = -2.0) -> DataFrame
 
 def similar_pairs(vectors: DataFrame, k: int = 5, least: float = 0.85) -> DataFrame:
     """(id_a, id_b), id_a < id_b: pairs of which one is among the other's k nearest, with a cosine of at least `least`."""
-    near = neighbours(vectors, k, least)
+    near = neighbours(vectors, k, least, NEAR_PROBES if least >= 0.85 else PROBES)
     return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
