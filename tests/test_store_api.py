@@ -146,3 +146,36 @@ def test_streams(spark, tmp_path):
     q = reload.monthly_calls(reload.edge_stream(spark, src)).writeStream.outputMode("complete").format("memory").queryName("calls").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert rows(spark.table("calls"), "repo", "n") == [("r", 2)]
+
+
+def test_pages_and_notes(spark, demo, tmp_path):
+    files = store.write_notes(digest.area_notes(demo), "r", str(tmp_path / "notes"))
+    assert len(files) == 8 and "MemStore" in (tmp_path / "notes" / "area-filestore.md").read_text()
+    assert open(store.write_page("x", str(tmp_path / "a" / "b.md"))).read() == "x"
+
+
+def test_summaries_groups_and_language_parts(spark, demo, tmp_path):
+    path = str(tmp_path / "pdg")
+    assert [x.count() for x in store.summaries(spark, path)] == [0, 0] and store.groups(spark, path).count() == 0
+    p = spark.createDataFrame([("r", "f", 2, [(0, 1)], 3, ["a"])], "repo string, id string, blocks int, ctrl_edges array<struct<src:int,dst:int>>, data_edges int, params array<string>")
+    t = spark.createDataFrame([("r", "f", "tainted input", "os.Open", 4)], "repo string, func string, source string, sink string, line int")
+    store.save_summaries(p, t, path)
+    assert [rows(x) for x in store.summaries(spark, path)] == [rows(p), rows(t)]
+    m = lambda lang, f: spark.createDataFrame([("r", lang, f)], "repo string, lang string, fingerprint string")
+    out = str(tmp_path / "parts")
+    store.save_language(demo, m("go", "1"), out)
+    store.save_language(demo, m("ts", "2"), out)
+    store.save_language(demo, m("go", "3"), out)
+    assert rows(spark.read.parquet(f"{out}/manifest"), "lang", "fingerprint") == [("go", "3"), ("ts", "2")]
+    assert spark.read.parquet(f"{out}/nodes").count() == 10
+
+
+def test_visible_and_actions(spark, demo):
+    n, e = lookup.visible(demo, ("interface",))
+    assert n.count() == 4 and rows(e, "dst") == [("helper",)]
+    assert lookup.visible(demo, (), demo.nodes.where("id = 'main'"))[0].count() == 1
+    from weftline.functions.text import json_action
+
+    df = spark.createDataFrame([('say {"tool": "impact", "id": "x"} now',), ("none",)], "t string")
+    got = [r[0] for r in df.select(json_action(F.col("t"), "tool string, id string")).collect()]
+    assert got[0].tool == "impact" and got[1] is None

@@ -63,3 +63,8 @@ def query_tokens(text: str, stems: bool = True) -> list[str]:
 def slug(text: Column) -> Column:
     """Lower-case letters a-z and digits; anything else is a dash, none at the ends."""
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]", "-"), "^-+|-+$", "")
+
+
+def json_action(text: Column, ddl: str) -> Column:
+    """The JSON object from the first brace to the last, read by a schema; null if there is none."""
+    return F.from_json(F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit("")), ddl)

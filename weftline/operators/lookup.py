@@ -177,3 +177,13 @@ def explorer_tree(g: Graph) -> DataFrame:
     depth = ends.select("repo", F.when(F.least(F.size(lo), F.size(hi)) > 1, F.array_max(same)).otherwise(0).alias("skip"))
     rel = n.join(depth, "repo").withColumn("rest", F.expr("slice(parts, skip + 1, size(parts))"))
     return rel.groupBy("repo", F.expr("array_join(slice(rest, 1, size(rest) - 1), '/')").alias("dir"), F.expr("rest[size(rest) - 1]").alias("file")).agg(F.sort_array(F.collect_list("name")).alias("symbols"))
+
+
+def visible(g: Graph, hidden: tuple[str, ...] = (), near: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) without nodes of hidden kinds and, if `near` (repo, id) is given, without those outside it; edges keep both ends."""
+    n = g.nodes.where(~F.col("kind").isin(*hidden)) if hidden else g.nodes
+    n = n if near is None else n.join(near.select("repo", "id").distinct(), ["repo", "id"], "left_semi")
+    e = g.edges
+    for end in ("src", "dst"):
+        e = e.join(n.select("repo", F.col("id").alias(end)), ["repo", end], "left_semi")
+    return n, e

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,14 +67,69 @@ def stored(spark: SparkSession, path: str) -> Graph:
     return Graph(read("nodes", schema.NODES), read("edges", schema.EDGES), read("routes", schema.ROUTES), shapes)
 
 
-def registry(spark: SparkSession, path: str) -> DataFrame:
-    """(name, path, indexed_at) of registered repos; none if nothing was registered."""
+def save_language(g: Graph, manifest: DataFrame, path: str) -> None:
+    """One language's part of repos with its fingerprints: only the (repo, lang) partitions that manifest (repo, lang, fingerprint) names are overwritten."""
+    langs = manifest.select("repo", "lang")
+    for name, df in (("nodes", g.nodes), ("edges", g.edges), ("routes", g.routes)):
+        df.join(langs, "repo").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo", "lang").parquet(f"{path}/{name}")
+    manifest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo", "lang").parquet(f"{path}/manifest")
+
+
+def _json_or_none(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     try:
-        return spark.read.schema(schema.REGISTRY).json(path)
+        return spark.read.schema(ddl).json(path)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], schema.REGISTRY)
+        return spark.createDataFrame([], ddl)
+
+
+def groups(spark: SparkSession, path: str) -> DataFrame:
+    """(name, repos); none if nothing was written."""
+    return _json_or_none(spark, path, schema.GROUPS)
+
+
+def summaries(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(function summaries, taint findings) of all repos, read where save_summaries writes; none if nothing was written."""
+    return _json_or_none(spark, f"{path}/funcs", schema.PDGS), _json_or_none(spark, f"{path}/taint", schema.TAINT)
+
+
+def save_summaries(pdgs: DataFrame, taint: DataFrame, path: str) -> None:
+    pdgs.write.mode("overwrite").json(f"{path}/funcs")
+    taint.write.mode("overwrite").json(f"{path}/taint")
+
+
+def write_page(text: str, path: str) -> str:
+    """A page as a local text file; its folder is made if need be."""
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(text)
+    return path
+
+
+# The topics that every repo gets a page on.
+TOPICS = {
+    "exploring": "Start from `repos`, then `entry_points` and `query`; `context` shows what surrounds a symbol.",
+    "debugging": "`trace` finds how one symbol reaches another, `process` what runs below an entry point.",
+    "impact-analysis": "`impact` lists who depends on a symbol before it is edited, `detect_changes` what a diff touches, `api_impact` what lies behind routes.",
+    "refactoring": "`rename` plans before it writes: read the plan and its confidence, apply it, then look at `detect_changes`.",
+    "guide": "`tool_map` lists all questions; most take a repo.",
+    "cli": "`python -m weftline.cli FOLDER COMMAND` asks the same questions from a shell.",
+}
+
+
+def write_notes(areas: DataFrame, repo: str, folder: str) -> list[str]:
+    """A page per topic and one per community of the repo (rows of digest.area_notes); returns the paths, sorted."""
+    page = lambda name, title, body: write_page(f"---\nname: {name}\nrepo: {repo}\n---\n\n# {title}\n\n{body}\n", os.path.join(folder, f"{name}.md"))
+    done = [page(n, n.capitalize(), body) for n, body in TOPICS.items()]
+    for r in areas.where(F.col("repo") == repo).orderBy("slug", "community").toLocalIterator():
+        done.append(page(r.slug, f"Area: {r['name']}", f"**{r['name']}** holds {r['size']} symbols, among them {', '.join(r.members)}."))
+    return sorted(set(done))
+
+
+def registry(spark: SparkSession, path: str) -> DataFrame:
+    """(name, path, indexed_at) of registered repos; none if nothing was registered."""
+    return _json_or_none(spark, path, schema.REGISTRY)
 
 
 def register(known: DataFrame, name: str, path: str, at: datetime) -> DataFrame:
