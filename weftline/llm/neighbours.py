@@ -256,17 +256,23 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = -2.0, probes: int
     if not classes.where("copies > 1").take(1):
         return near
     # copies: each class is known by its k + 1 smallest ids; the partial row number keeps no more of a class in any task
-    copied = classes.where("copies > 1")
-    members = units.join(copied, "vec", "left").select("id", F.coalesce("rep", "id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies"))
-    members = keep(members, "members")
+    copied = classes.where("copies > 1").select("vec", "rep")
+    members = keep(units.join(copied, "vec").select("id", "rep"), "members")
     few = members.withColumn("r", F.row_number().over(W.partitionBy("rep").orderBy("id"))).where(F.col("r") <= k + 1).select("rep", F.col("id").alias("other"))
-    of_others = near.select(F.col("id").alias("rep"), F.col("other").alias("o_rep"), "score").join(few.withColumnRenamed("rep", "o_rep"), "o_rep").select("rep", "other", "score")
-    own = few.join(copied.select("rep"), "rep").select("rep", "other", F.lit(1.0).alias("score"))
-    options = own.unionByName(of_others)
+    few = keep(few, "few")
+    # only copied classes, and those with one of them among their nearest, get another list than the one found
+    heads = copied.select("rep")
+    changed = keep(near.join(heads.withColumnRenamed("rep", "other"), "other", "left_semi").select(F.col("id").alias("rep")).unionByName(heads).distinct(), "changed")
+    same = near.join(changed.withColumnRenamed("rep", "id"), "id", "left_anti")
+    rest = near.withColumnsRenamed({"id": "rep", "other": "o_rep"}).join(changed, "rep", "left_semi")
+    rest = rest.join(few.withColumnsRenamed({"rep": "o_rep", "other": "member"}), "o_rep", "left").select("rep", F.coalesce("member", "o_rep").alias("other"), "score")
+    options = few.withColumn("score", F.lit(1.0)).unionByName(rest)
+    who = members.unionByName(changed.join(heads, "rep", "left_anti").select(F.col("rep").alias("id"), "rep"))
     hot = keep(hot_keys(members, ["rep"]), "hot")
-    a, b = spread(members, options, ["rep"], F.col("id"), hot)
+    a, b = spread(who, options, ["rep"], F.col("id"), hot)
     both = a.join(b, ["rep", "salt"]).where("id <> other AND score >= " + repr(least))
-    return both.select("id", "other", "score", F.row_number().over(best).alias("r")).where(F.col("r") <= k).drop("r")
+    new = both.select("id", "other", "score", F.row_number().over(best).alias("r")).where(F.col("r") <= k).drop("r")
+    return same.select("id", "other", "score").unionByName(new)
 
 
 def similar_pairs(vectors: DataFrame, k: int = 5, least: float = 0.85) -> DataFrame:
