@@ -14,6 +14,7 @@ LISTS = {
     "inline": ", ".join(ITEMS),
     "paths": "\n".join(f"/shard/cache/file{i}.go" for i in range(9)),
     "versions": "\n".join(f"route-index v2.{i}.0" for i in range(9)),
+    "spanish": "\n".join(["el grafo de llamadas", "la tabla de rutas", "los paquetes nuevos", "el índice", "las firmas vacías"] * 2),
     "nested": "\n".join("  " * (i % 3) + "- " + x for i, x in enumerate(ITEMS)),
     "headed": "### Added\n" + "\n".join("* " + x for x in ITEMS),
     "chinese": "\n".join("- " + x for x in ("旧的节点", "路由表", "符号缓存", "空的签名")),
@@ -32,6 +33,7 @@ TABLES = {
 JUNK = {
     "log": "\n".join(f"2025-01-0{i}T10:00:00Z WARN [ab] cache.load id=ff{i} ms={i}" for i in range(1, 9)),
     "base64": "NqIiCkSvOzN1nzxcaDm6opCpQkTwlmwe4C1n+zkbAhfZ9jXc8V6oBaMprB5D+nbSSAGiQdyKIhCgRc4B09RwW9lkFBx7WLqRW6tv" * 2,
+    "base64 lines": "\n".join("Y0Kbw0rWz/Fl6vvyGS3iuFB13fKv7EAemvlMPRcm0mk7V2eGQx3mtn6r0FCnGml" + c for c in "abcdefgh"),
     "rule": "=" * 300,
     "again": "undefined" * 40,
     "sentence again": "It would be better if we could count them. " * 30,

@@ -51,6 +51,7 @@ _LATEX = re.compile(r"&.*\\\\\s*(?:\\hline)?\s*$|^\s*\\(?:hline|toprule|midrule|
 _FENCE = re.compile(r"^\s*(?:```|~~~)")
 _HEADING = re.compile(r"^\s*(?:#{1,6}\s|=+\s*$|-{3,}\s*$|\*{3,}\s*$|_{3,}\s*$)")
 _CODE = re.compile(r"[{}()\[\];=&|<>!$]")
+_ENCODED, _UPPER, _LOWER, _DIGIT = re.compile(r"[A-Za-z0-9+/=_-]{40,}"), re.compile("[A-Z]"), re.compile("[a-z]"), re.compile("[0-9]")
 _HARD = re.compile(r"[bcdfghjklmnpqrstvwxz]{5,}|[bcdfghjklmnpqrstvwxz]{2}[jqvx][bcdfghjklmnpqrstvwxz]|[aeiou]{5,}", re.I)  # no language spells so often
 _MOJIBAKE = re.compile(r"\ufffd|[ÂÃÐÑ][\u0080-\u00bf]|â€|ï¿½|[\u0080-\u009f]|[\x00-\x08\x0b\x0e-\x1f]")
 
@@ -163,6 +164,8 @@ def _noise(line: str) -> bool:
         return False
     letters = sum(map(str.isalpha, s))
     longest = max(map(len, s.split()), default=0)
+    if _ENCODED.fullmatch(s) and min(len(_UPPER.findall(s)), len(_LOWER.findall(s)), 3 * len(_DIGIT.findall(s))) >= 5:
+        return True
     if n >= 30 and longest > 0.6 * n and longest >= 30:
         return not _PATH.match(max(s.split(), key=len)) or longest > 200
     if n >= 20 and letters < 0.35 * n:
@@ -270,7 +273,7 @@ def line_kinds(text: str) -> list[tuple[str, int]]:
             words = [_words(lines[i]) for i in run]
             k, common = _common(" ".join(lines[i] for i in run))
             ends = sum(bool(_STOP.search(lines[i].strip())) for i in run)
-            if sum(words) <= 5.2 * len(run) and ends <= 0.2 * len(run) and common <= 0.38 * max(k, 1):
+            if sum(words) <= 5.2 * len(run) and ends <= 0.2 * len(run) and (common <= 0.38 * max(k, 1) or sum(words) <= 4.5 * len(run)):
                 for i in run:
                     kinds[i] = "list"
         run.clear()
