@@ -7,6 +7,8 @@ the reducer one state per map task, not one row per record, and needs no salt.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,7 +53,7 @@ def heavy_targets(edges: DataFrame, share: float = 0.02) -> DataFrame:
     """
     total = edges.count()
     counts = per_key(edges.where("dst <> ''"), [F.col("dst"), clean_kind().alias("kind")], {"n": F.count(F.lit(1))})
-    return counts.where(F.col("n") >= F.lit(share * total)).select("dst", "kind")
+    return counts.where(F.col("n") >= F.lit(math.ceil(share * total - 1e-9))).select("dst", "kind")
 
 
 def hot_keys(rows: DataFrame, keys: list[str], parts: int = 1000, least: int = 20_000) -> DataFrame:

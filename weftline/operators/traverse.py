@@ -11,10 +11,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.sources.scratch import keep
+from weftline.sources.scratch import keep, place
 
 MOST_LEVELS = 10_000
 
@@ -35,18 +35,39 @@ def closure(links: DataFrame, seeds: DataFrame, reverse: bool = False, most: int
 
     links: (repo, src, dst). seeds: (repo, root, id). Seeds need not be nodes. Cycles end where they began. An empty set of seeds gives no rows.
     """
+    spark = links.sparkSession
     step = _adjacency(links, reverse)
-    level = keep(seeds.select("repo", "root", "id").distinct().withColumn("depth", F.lit(0).cast("bigint")), "level")
-    levels = [level]
-    for depth in range(1, most + 1):
+    base = place(spark, "closure")
+    at = lambda depth: f"{base}/depth={depth}"  # noqa: E731  the depth is a partition, so every level has the same plan and the same code
+    n = _write(seeds.select("repo", "root", "id").distinct(), at(0))
+    depth = 0
+    while n and depth < most:
+        level = spark.read.schema("repo string, root string, id string").parquet(at(depth))
+        seen = _levels(spark, base, depth)
+        depth += 1
         far = level.join(step, (level["repo"] == step["repo"]) & (level["id"] == step["at"])).select(level["repo"], "root", F.col("to").alias("id")).distinct()
-        new = far.join(_union(levels), ["repo", "root", "id"], "left_anti").withColumn("depth", F.lit(depth).cast("bigint"))
-        level = keep(new, "level")
-        if level.isEmpty():
-            break
-        levels.append(level)
+        n = _write(far.join(seen, ["repo", "root", "id"], "left_anti"), at(depth))
     step.unpersist()
-    return _union(levels)
+    return _levels(spark, base, depth)
+
+
+def _write(df: DataFrame, path: str) -> int:
+    """Writes a level and returns its number of rows, counted on the way."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return seen.get["n"]
+
+
+def _kept(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """keep, with the number of rows."""
+    path = place(df.sparkSession, label)
+    n = _write(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), n
+
+
+def _levels(spark: SparkSession, base: str, depth: int) -> DataFrame:
+    """(repo, root, id, depth) of the levels up to a depth, as one scan."""
+    return spark.read.schema("repo string, root string, id string, depth bigint").option("basePath", base).parquet(*(f"{base}/depth={d}" for d in range(depth + 1)))
 
 
 def impact(links: DataFrame, seeds: DataFrame, most: int = MOST_LEVELS) -> DataFrame:
@@ -71,8 +92,8 @@ def least_label(links: DataFrame, labels: DataFrame) -> DataFrame:
     while True:
         heard = told.join(step, (told["repo"] == step["repo"]) & (told["id"] == step["at"])).groupBy(told["repo"], F.col("to").alias("id")).agg(F.min("label").alias("heard"))
         told = heard.join(known, ["repo", "id"], "left").where("label IS NULL OR heard < label").select("repo", "id", F.col("heard").alias("label"))
-        told = keep(told, "told")
-        if told.isEmpty():
+        told, n = _kept(told, "told")
+        if not n:
             break
         known = keep(known.join(told, ["repo", "id"], "left_anti").unionByName(told), "label")
     step.unpersist()
@@ -98,8 +119,8 @@ def trace(edges: DataFrame, pairs: DataFrame) -> DataFrame:
             level["repo"], "src", "dst", F.col("to").alias("id"), F.concat("ords", F.array("ord")).alias("ords"), F.concat("path", F.array("to")).alias("path")
         )
         first = far.groupBy("repo", "src", "dst", "id").agg(F.min(F.struct("ords", "path")).alias("p")).select("repo", "src", "dst", "id", "p.ords", "p.path")
-        new = keep(first.join(_union(seen), ["repo", "src", "dst", "id"], "left_anti"), "level")
-        if new.isEmpty():
+        new, n = _kept(first.join(_union(seen), ["repo", "src", "dst", "id"], "left_anti"), "level")
+        if not n:
             break
         seen.append(new.select("repo", "src", "dst", "id"))
         hit = new.where("id = dst")

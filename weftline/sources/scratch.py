@@ -27,12 +27,18 @@ def folder(spark: SparkSession) -> str:
     return got
 
 
+def place(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted at the end."""
+    path = f"{folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
 def keep(df: DataFrame, label: str) -> DataFrame:
     """Writes the rows once and returns a scan of them. Columns of equal name must be renamed before."""
     spark = df.sparkSession
-    path = f"{folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = place(spark, label)
     df.write.parquet(path)
-    _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
