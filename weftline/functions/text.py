@@ -11,6 +11,8 @@ from weftline.functions.porter import stem
 
 _CAMEL = r"(?<=\p{Ll})(?=\p{Lu})|(?<=.)(?=\p{Lu}\p{Ll})"
 
+_EDGE = r"\p{Ll}\p{Lu}|.\p{Lu}\p{Ll}"
+
 
 def fields(text: Column) -> Column:
     """Maximal runs of letters and numbers."""
@@ -23,8 +25,10 @@ def camel(word: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Lower-case tokens: each field and, if it has several, its camel parts. Repetitions stay."""
-    return F.flatten(F.transform(fields(text), lambda f: F.concat(F.array(F.lower(f)), F.when(F.size(camel(f)) > 1, F.transform(camel(f), F.lower)).otherwise(F.array().cast("array<string>")))))
+    """Lower-case tokens: each field and, if it has several, its camel parts. Repetitions stay. Only fields that hold a boundary are cut."""
+    parts = lambda f: F.filter(F.concat(F.array(F.lower(f)), F.transform(camel(f), F.lower)), lambda x: x != "")
+    cut = lambda f: F.when(f.rlike(_EDGE), parts(f)).otherwise(F.array(F.lower(f)))
+    return F.flatten(F.transform(fields(text), cut))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -38,7 +38,7 @@ def bm25_scores(docs: DataFrame, keys: list[str], text: Column, query: str, by:
     once = list(dict.fromkeys(terms))
     toks = docs.select(*keys, *[c for c in by if c not in keys], tokens(F.coalesce(text, F.lit("")), stems).alias("_t"))
     tf = toks.select(*[c for c in toks.columns if c != "_t"], F.size("_t").alias("_len"), *(F.size(F.filter("_t", _is(t))).alias(f"_tf{i}") for i, t in enumerate(once)))
-    tf = keep(tf, "tf") if stems else tf  # stems cost more than a read
+    tf = keep(tf, "tf")  # a few numbers per document; tokens cost more than a read
     stats = tf.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(once))))
     some = tf.where(" OR ".join(f"_tf{i} > 0" for i in range(len(once))) or "false")
     if by:
