@@ -172,3 +172,13 @@ def test_operator(spark):
     assert got.count() == 10 and documented(df).count() == 13
     assert got.where("name = 'Open'").first().description == "Open reads the whole ledger and returns every row."
     assert pairs(df.limit(0)).count() == 0
+
+
+def test_hostile_files_take_linear_time():
+    import time
+
+    for text in ("const f: " * 10_000, "{" * 50_000, "a<b<c<" * 20_000, "const a = " + "x => " * 20_000 + "1;", "`${`" * 5_000, "class A { m(): " + "A|" * 20_000 + " }", "f({a(){" * 6_000, "/" * 60_001):
+        for file in ("a.ts", "a.go"):
+            began = time.time()
+            functions(file, None, text)
+            assert time.time() - began < 5, text[:10]

@@ -87,3 +87,12 @@ def test_operator(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'x' AS form", "1 AS n_chars")
     assert sorted((r.doc_id or 0, r.form) for r in odd_forms(df).collect()) == [(0, "table"), (2, "list"), (5, "junk"), (5, "junk")]
     assert text_quality(df).count() == 7 and odd_forms(df.limit(0)).count() == 0
+
+
+def test_hostile_texts_take_linear_time():
+    import time
+
+    for text in ("1.2.3.4." * 40_000, "- " * 100_000, "| a " * 60_000, "a;b" * 60_000, "(" * 200_000, "\t" * 100_000 + "x", "&\\\\" * 50_000):
+        began = time.time()
+        form(text), statistics(text)
+        assert time.time() - began < 5, text[:10]

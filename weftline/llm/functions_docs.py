@@ -190,13 +190,14 @@ def _js_functions(text: str, t: _Tokens) -> Iterator[tuple[int, str, int, int, _
         return j
 
     def behind_type(j: int, stop: tuple[str, ...]) -> int:
-        """The place of the first of `stop` behind a type that begins at j; n if there is none."""
+        """The place of the first of `stop` behind a type that begins at j; n if there is none within 2,000 tokens, brackets counting as one."""
         wants = True  # the type is not complete yet
-        while j < n:
+        last = min(n, j + 2000)
+        while j < last:
             x = word[j]
             if x in stop and (not wants or x != "{"):
                 return j
-            if x in (";", ")", "]", "}", ",") or (begins[j] and not wants and x not in ("|", "&", ".", "[", "<")):
+            if x in (";", ")", "]", "}", ",", "const", "let", "var", "return", "import", "export") or (begins[j] and not wants and x not in ("|", "&", ".", "[", "<")):
                 return n
             if x == "<":
                 k = after_generics(j)

@@ -39,7 +39,7 @@ _PART = re.compile(r"[\p{L}\p{M}]+")
 _CJK = re.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
 _SENTENCE_END = re.compile(r"[.!?…。！？؟।:;][\"'»”’)\]]*$")
 _MARK = re.compile(
-    r"^\s*(?:>\s*)?(?:(?:[-*+•–—▪▫◦‣⁃·∙○●■□▶►➤➢→✓✔✗✘☐☑☒※★☆][ \t\u00a0]+)+(?:\[[ xX✓-]?\][ \t]+)?|\[[ xX✓-]?\][ \t]+|\(?(?:\d{1,4}(?:\.\d{1,3})*[.):\]]|(?:[a-zA-Z]|[ivxlcIVXLC]{1,6})[.)\]])[ \t]+|[①-⑳⓪][ \t]*|#\d+[ \t]+|\d+、|\(?[一二三四五六七八九十]+[、)）]\s*|<li\b|\\item\b|=>\s)"
+    r"^\s*(?:>\s*)?(?:(?:[-*+•–—▪▫◦‣⁃·∙○●■□▶►➤➢→✓✔✗✘☐☑☒※★☆][ \t\u00a0]+)+(?:\[[ xX✓-]?\][ \t]+)?|\[[ xX✓-]?\][ \t]+|\(?(?:\d{1,4}(?:\.\d{1,3}){0,7}[.):\]]|(?:[a-zA-Z]|[ivxlcIVXLC]{1,6})[.)\]])[ \t]+|[①-⑳⓪][ \t]*|#\d+[ \t]+|\d+、|\(?[一二三四五六七八九十]+[、)）]\s*|<li\b|\\item\b|=>\s)"
 )
 _STAMP = re.compile(
     r"^\W{0,3}(?:\d{4}[-/.]\d\d[-/.]\d\d[T _]?\d\d:\d\d|\d\d[-/.]\d\d[-/.]\d{2,4}[T ,]+\d\d:\d\d|[A-Z][a-z]{2} +\d{1,2} \d\d:\d\d:\d\d|\d\d:\d\d:\d\d|\d{10,13}[ .\]]|(?:TRACE|DEBUG|INFO|WARN(?:ING)?|ERROR|FATAL|CRITICAL|NOTICE)\b[\]: ]|[IWEF]\d{4} \d\d:|\d{1,3}(?:\.\d{1,3}){3} - )"
