@@ -37,6 +37,27 @@ def test_recall(spark, monkeypatch):
     assert np.mean([len(got[i] & set(want[i])) / 5 for i in want]) > 0.97
 
 
+def near_copies(n, seed, noise):
+    """A third of n vectors are near copies of one, but none an exact copy."""
+    rng = np.random.default_rng(seed)
+    one = rng.normal(size=64)
+    return clusters(n - n // 3, seed) | {f"w{i:05}": one + noise * rng.normal(size=64) for i in range(n // 3)}
+
+
+@pytest.mark.parametrize("size,noise", [(512, 0.1), (32, 0.1), (512, 1e-4)])
+def test_near_copies_of_a_third_are_all_found(spark, monkeypatch, size, noise):
+    monkeypatch.setattr(nb, "LIST", size)  # 32: the group fills far more lists than a query probes by rank
+    v = near_copies(2400, 6, noise)
+    got = {tuple(r) for r in nb.similar_pairs(frame(spark, v.items())).collect()}
+    ids = sorted(v)
+    x = np.array([v[i] for i in ids], np.float32).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x.astype(np.float32).astype(np.float64) @ x.astype(np.float32).astype(np.float64).T
+    np.fill_diagonal(s, -9)
+    want = {tuple(sorted((ids[a], ids[b]))) for a in range(len(ids)) if ids[a][0] == "w" for b in np.argsort(-s[a], kind="stable")[:5] if s[a, b] >= 0.85}
+    assert len(want & got) > (0.999 if noise > 1e-3 else 0.97) * len(want)  # rounding orders the nearest of all
+
+
 def test_blocks_change_nothing(spark, monkeypatch):
     v = clusters(700, 1)
     want = sorted(map(tuple, nb.neighbours(frame(spark, v.items())).select("id", "other").collect()))

@@ -3,8 +3,9 @@
 Score-aware quantisation for maximum inner product: vectors of length one are cut into a coarse centroid and a residual, whose
 16 parts of 4 numbers are coded with 4 bits each. Centres and codes minimise a loss that weighs the error along the vector
 (which changes its score against its neighbours) `ETA` times as much as the error across it. A query reads tables of 16 scores per
-part, added over the codes of the lists it probes; the best of each list are scored again with their exact vectors. Lists that
-lie close together form an area, and a query travels once to each area that it probes, not once to each list.
+part, added over the codes of the lists it probes; the best of each list are scored again with their exact vectors. Where the error of
+the codes leaves room for more than those among the k best, the whole list is scored exactly, so that no vector of a probed list is lost.
+Lists that lie close together form an area, and a query travels once to each area that it probes, not once to each list.
 
 The codebooks are fitted on the driver to a bounded sample (`SAMPLE` vectors); everything else runs over all vectors.
 Exact copies are collapsed before the search and expanded after it, so that a vector under many ids costs one entry. Areas are cut into
@@ -38,6 +39,12 @@ AREA = 16
 BLOCK, QUERIES = 32_768, 65_536
 PROBES, NEAR_PROBES, RERANK = 16, 8, 64
 """Lists that a query probes: for its nearest at any distance, and for those of a cosine of at least 0.85, which lie in fewer lists."""
+FEW_LISTS = 64
+"""Up to so many lists the numbers of probes hold; beyond, they grow with the square root of the number of lists."""
+DENSE = 0.85
+"""A query also probes every list whose centre is so near: if all of a list are at least so near to a query, then so is their mean."""
+SLACK = 1e-5
+"""More than the error of a score in single precision."""
 
 
 @dataclass
@@ -154,7 +161,12 @@ def _coded(rows: DataFrame, book: Codebook, n_probes: int) -> DataFrame:
             codes = _codes(x, x - book.coarse[probes[:, 0]], book.fine)
             packed = (codes[:, 0::2] << 4) | codes[:, 1::2]
             where = book.area[probes]
-            asks = [[{"area": a, "lists": p[w == a].tolist()} for a in np.unique(w).tolist()] for p, w in zip(probes, where, strict=True)]
+            every = list(probes)
+            for s in range(0, len(x), 4096):
+                dense = x[s : s + 4096] @ book.coarse.T >= DENSE
+                for i in np.flatnonzero(dense.any(1)).tolist():
+                    every[s + i] = np.union1d(probes[s + i], np.flatnonzero(dense[i]))
+            asks = [[{"area": a, "lists": p[w == a].tolist()} for a in np.unique(w).tolist()] for p, w in ((p, book.area[p]) for p in every)]
             kind = pa.list_(pa.struct([("area", pa.int32()), ("lists", pa.list_(pa.int32()))]))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(where[:, 0]), pa.array(probes[:, 0]), pa.array([c.tobytes() for c in packed], pa.binary()), pa.array(asks, kind)], ["id", "vec", "area", "list", "codes", "asks"]
@@ -163,31 +175,70 @@ def _coded(rows: DataFrame, book: Codebook, n_probes: int) -> DataFrame:
     return rows.mapInArrow(run, "id string, vec binary, area int, list int, codes binary, asks array<struct<area:int,lists:array<int>>>")
 
 
-def _scan(q: np.ndarray, qid: np.ndarray, d: np.ndarray, did: np.ndarray, codes: np.ndarray, book: Codebook, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places in d, scores) of the k best of one list for each query; the query itself scores -inf. did is sorted, so ties go to the smaller id."""
-    if len(d) > RERANK + 1:
-        table = np.einsum("qmw,mcw->qmc", q.reshape(-1, PARTS, DIM // PARTS), book.fine)
-        pairs = (table[:, 0::2, :, None] + table[:, 1::2, None, :]).reshape(len(q), PARTS // 2, 256)  # two codes per byte
-        score = pairs[:, 0][:, codes[0]]
-        for m in range(1, PARTS // 2):
-            score += pairs[:, m][:, codes[m]]
-        top = np.argpartition(-score, RERANK, axis=1)[:, : RERANK + 1]
-        top.sort(axis=1)
-    else:
-        top = np.tile(np.arange(len(d)), (len(q), 1))
-    # single precision picks a few more than k, double precision orders them
-    score = np.matmul(d[top], q[:, :, None])[:, :, 0]
-    score[did[top] == qid[:, None]] = -np.inf
-    if score.shape[1] > k + 4:
-        few = np.argpartition(-score, k + 3, axis=1)[:, : k + 4]
+def _errors(d: np.ndarray, centre: np.ndarray, codes: np.ndarray, fine: np.ndarray) -> np.ndarray:
+    """How far each vector of a list is from what its codes say."""
+    said = [fine[m][(codes[m // 2] >> 4) if m % 2 == 0 else (codes[m // 2] & 15)] for m in range(PARTS)]
+    return np.linalg.norm(d - centre - np.concatenate(said, 1), axis=1)
+
+
+def _best(score: np.ndarray, top: np.ndarray | None, q: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places in d, scores) of the k best of each row. Scores in single precision pick those that may be, double precision orders them.
+
+    top: the places of the columns, rising in each row; None if they are those of d. A score of -inf stays.
+    """
+    width = score.shape[1]
+    if width > k + 4:
+        kth = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+        width = max(k + 4, int((score >= kth - 2 * SLACK).sum(1).max()))
+    if width < score.shape[1] and width <= 4 * RERANK:
+        few = np.argpartition(-score, width - 1, axis=1)[:, :width]
         few.sort(axis=1)
-        top, score = np.take_along_axis(top, few, 1), np.take_along_axis(score, few, 1)
-    exact = np.matmul(d[top].astype(np.float64), q[:, :, None].astype(np.float64))[:, :, 0]
+        top, score = few if top is None else np.take_along_axis(top, few, 1), np.take_along_axis(score, few, 1)
+    if top is None:
+        exact = q.astype(np.float64) @ d.astype(np.float64).T
+        top = np.broadcast_to(np.arange(len(d)), exact.shape)
+    else:
+        exact = np.matmul(d[top].astype(np.float64), q[:, :, None].astype(np.float64))[:, :, 0]
     exact[np.isneginf(score)] = -np.inf
     best = np.argsort(-exact, axis=1, kind="stable")[:, :k]
     return np.take_along_axis(top, best, 1), np.take_along_axis(exact, best, 1)
 
 
+def _scan(q: np.ndarray, qid: np.ndarray, d: np.ndarray, did: np.ndarray, codes: np.ndarray, error: np.ndarray, centre: np.ndarray, book: Codebook, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(places in d, scores) of the k best of one list for each query; the query itself scores -inf. did is sorted, so ties go to the smaller id.
+
+    Of those below `least` some may be missing. error and centre: see _errors.
+    """
+
+    def whole(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        score = q[w] @ d.T
+        at = np.minimum(np.searchsorted(did, qid[w]), len(did) - 1)
+        own = did[at] == qid[w]
+        score[own, at[own]] = -np.inf
+        return _best(score, None, q[w], d, k)
+
+    most = max(RERANK, k + 4)
+    if len(d) <= most + 1:
+        return whole(np.arange(len(q)))
+    table = np.einsum("qmw,mcw->qmc", q.reshape(-1, PARTS, DIM // PARTS), book.fine)
+    pairs = (table[:, 0::2, :, None] + table[:, 1::2, None, :]).reshape(len(q), PARTS // 2, 256)  # two codes per byte
+    score = pairs[:, 0][:, codes[0]]
+    for m in range(1, PARTS // 2):
+        score += pairs[:, m][:, codes[m]]
+    top = np.argpartition(-score, most, axis=1)[:, : most + 1]
+    top.sort(axis=1)
+    exact = np.matmul(d[top], q[:, :, None])[:, :, 0]
+    exact[did[top] == qid[:, None]] = -np.inf
+    place, value = _best(exact, top, q, d, k)
+    # q.d is at most the score of d's codes and their error: who else might reach the k-th?
+    score += error
+    np.put_along_axis(score, top, -np.inf, 1)
+    open_ = np.flatnonzero(score.max(1) + q @ centre >= np.maximum(value[:, k - 1], least) - SLACK)
+    if len(open_):
+        place[open_], value[open_] = whole(open_)
+    return place, value
+
+
 def _search(book: Codebook, k: int, least: float):
     """Queries and vectors of one (area, block, query block): the k best of the block for each query, exactly scored."""
 
@@ -208,12 +259,16 @@ def _search(book: Codebook, k: int, least: float):
             own = np.fromiter((x[0] for x, y in zip(lists, is_query, strict=True) if not y), np.int64, len(did))
             order = np.lexsort((did, own))
             starts = np.searchsorted(own[order], [*asked, *(x + 1 for x in asked)])
-            for (_, who), lo, hi in zip(asked.items(), starts[: len(asked)], starts[len(asked) :], strict=True):
+            for (x, who), lo, hi in zip(asked.items(), starts[: len(asked)], starts[len(asked) :], strict=True):
                 at = order[lo:hi]
-                part = codes[at].T.copy()
-                for s in range(0, len(who) if len(at) else 0, 512):
-                    w = np.array(who[s : s + 512])
-                    place, value = _scan(q[w], qid[w], d[at], did[at], part, book, k)
+                if not len(at):
+                    continue
+                part, centre, d_at, did_at = codes[at].T.copy(), book.coarse[x], d[at], did[at]
+                error = _errors(d_at, centre, part, book.fine)
+                step = max(16, min(512, (1 << 22) // len(at)))
+                for s in range(0, len(who), step):
+                    w = np.array(who[s : s + step])
+                    place, value = _scan(q[w], qid[w], d_at, did_at, part, error, centre, book, k, least)
                     row, col = np.nonzero(value >= least)
                     out[0].append(w[row])
                     out[1].append(at[place[row, col]])
@@ -234,7 +289,7 @@ def _search(book: Codebook, k: int, least: float):
 def neighbours(vectors: DataFrame, k: int = 5, least: float = -2.0, probes: int = PROBES) -> DataFrame:
     """(id, other, score): the k other ids of highest cosine for each id, those of at least `least`; ties go to the smaller id.
 
-    The search is approximate (see the README for measured recall), the scores are exact. Fewer than k + 1 vectors give fewer rows,
+    The search is approximate in which lists a query probes (see the README for measured recall), exact within them. Fewer than k + 1 vectors give fewer rows,
     an empty table none. With a `least`, nothing below it is moved at all.
     """
     units = keep(unit_vectors(vectors), "units")
@@ -248,6 +303,7 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = -2.0, probes: int
     share = min(1.0, 1.05 * SAMPLE / n)
     sample = classes.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("vec").limit(SAMPLE).toArrow()
     book = fit(_matrix(sample.column("vec"), DIM, np.float32).copy() if sample.num_rows else np.eye(1, DIM, dtype=np.float32), min(MOST_LISTS, max(1, round(n / LIST))))
+    probes = max(probes, round(probes * (len(book.coarse) / FEW_LISTS) ** 0.5))
     coded = keep(_coded(classes.select(F.col("rep").alias("id"), "vec"), book, probes), "coded")
     # areas and their queries in blocks of bounded size; there are at most MOST_LISTS rows of sizes
     held = {r.area: r.n for r in coded.groupBy("area").agg(F.count(F.lit(1)).alias("n")).collect()}
