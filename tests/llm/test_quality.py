@@ -1,3 +1,5 @@
+import textwrap
+
 import pytest
 
 from weftline.llm.quality import form, odd_forms, statistics, text_quality
@@ -66,6 +68,26 @@ def test_forms(want, text):
     assert form(text) == want
 
 
+THREE = "The merge step loads every table twice. Nobody in the yard has asked for such a report. We would like to see fewer of these rows!"
+AGAIN = {
+    "headed paragraphs": "# Ledger and Route\n\n" + "\n\n".join([THREE] * 10),
+    "headed, one line": "Ledger and Route\n\n" + " ".join([THREE] * 10),
+    "wrapped anew": "Report\n\n" + "\n".join(textwrap.wrap(" ".join([THREE] * 10), 70)),
+    "no ends": "Ledger and Route\n\n" + "the merge step loads every table twice and then asks nobody in the yard for such a report " * 10,
+    "long": "# Route\n\n" + "\n\n".join([" ".join(f"The {w} step of the yard is {w} and has seen our {w}." for w in "ash birch cedar dune elm fir grove heath iris jade kelp larch moss nettle oak pine quince reed sage thyme ulm vine".split())] * 8),
+    "among prose": PROSE + "\n\n" + "\n\n".join([THREE] * 10),
+}
+
+
+@pytest.mark.parametrize("text", AGAIN.values(), ids=[*AGAIN])
+def test_the_same_over_and_over(text):
+    assert form(text) == "junk"
+
+
+def test_said_twice_is_no_repetition():
+    assert form(f"# Route\n\n{THREE}\n\n{PROSE}\n\n{THREE}") is None
+
+
 def test_statistics():
     s = statistics("One two.\nOne two.\n\n- x y z\n\n- x y z")
     assert s["n_words"] == 10 and s["dup_line_share"] == 0.5 and s["dup_paragraph_share"] == pytest.approx(1 / 3) and s["line_end_share"] == 0.5 and s["mark_share"] == 0.5

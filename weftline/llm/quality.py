@@ -2,8 +2,8 @@
 
 The statistics are those common in corpus filtering: words, mean word length, symbols, line ends, common words, and repetition (shares of
 duplicate lines and paragraphs, characters covered by the dominant n-gram). The form follows from combined rules over the
-same counts, taken line by line: each line's characters go to prose, code, list, table or junk, and a form is given when
-it holds more than half of the text's characters. Documents are independent: one mapInArrow, no shuffle, whole texts.
+same counts, taken line by line: each line's characters go to prose, code, list, table or junk, prose that says the same thing over and
+over (by characters of repeated lines and sentences and of dominant n-grams) to junk, and a form is given when it holds more than half of the text's characters. Documents are independent: one mapInArrow, no shuffle, whole texts.
 """
 
 from __future__ import annotations
@@ -126,6 +126,48 @@ def _cells(line: str) -> tuple[str, int]:
     return ("  ", len(parts)) if len(parts) > 1 else ("", 1)
 
 
+def _dominant(units: list[str]) -> tuple[str, int]:
+    """The unit that covers most characters and how often it comes."""
+    return max(Counter(units).items(), key=lambda u: (u[1] * len(u[0]), u[0]))
+
+
+_RUN, _BASE, _MOD = 40, 1_000_003, (1 << 61) - 1
+
+
+def _again(lines: list[str]) -> float:
+    """The share of the words' characters in what comes at least four times; 0 up to a half.
+
+    That is sentences and lines of which each holds a twentieth of all or more, one n-gram, or runs of forty words. A long natural text of few
+    phrases has none of these: it says each of them now and then, and in any order.
+    """
+    words = _WORD.findall("\n".join(lines).lower())
+    whole = sum(map(len, words))
+    # what comes four times leaves few words: 1/2 + 1/2 / 4
+    if len(words) < 10 or sum(map(len, set(words))) >= 0.625 * whole:
+        return 0.0
+    parts = Counter(x for x in map(str.strip, _PARTS.split("\n".join(lines))) if x)
+    said = [k * sum(map(len, _WORD.findall(x))) for x, k in parts.items() if k >= 4]
+    best = sum(n for n in said if n >= 0.05 * whole)
+    for n in (2, 3, 4):
+        grams = Counter(zip(*(words[i:] for i in range(n)), strict=False))
+        best = max(best, max((k * sum(map(len, g)) for g, k in grams.items() if k >= 4), default=0))
+    # runs by a rolling hash, else each would hold forty words
+    number: dict[str, int] = {}
+    ids = [number.setdefault(w, len(number) + 1) for w in words]
+    runs, h, last = [], 0, pow(_BASE, _RUN, _MOD)
+    for i, x in enumerate(ids):
+        h = (h * _BASE + x - (ids[i - _RUN] * last if i >= _RUN else 0)) % _MOD
+        if i >= _RUN - 1:
+            runs.append(h)
+    often, covered, upto = Counter(runs), 0, 0
+    for i, run in enumerate(runs):
+        if often[run] >= 4:
+            covered += sum(map(len, words[max(i, upto) : i + _RUN]))
+            upto = i + _RUN
+    share = min(1.0, max(best, covered) / whole)
+    return share if share > 0.5 else 0.0
+
+
 def _repeated(text: str) -> bool:
     """The same thing over and over: a few characters, one unit from end to end, or one sentence, line, word or pair of words that covers most of the text."""
     s = _BLANKS.sub(" ", text.strip())
@@ -138,14 +180,14 @@ def _repeated(text: str) -> bool:
     if 0 < period <= n // 3 and s.startswith(s[period:]):
         return True
     parts = [x for x in map(str.strip, _PARTS.split(text)) if x]
-    top, k = Counter(parts).most_common(1)[0]
+    top, k = _dominant(parts)
     if k >= 4 and k * len(top) > (0.5 if any(map(str.isalnum, top)) else 0.8) * sum(map(len, parts)):  # rules between the rows of a table are no text
         return True
     words = s.lower().split(" ")
     if len(words) < 10:
         return False
     whole = sum(map(len, words))
-    top, k = Counter(words).most_common(1)[0]
+    top, k = _dominant(words)
     if k * len(top) > (0.7 if any(map(str.isalnum, top)) else 0.8) * whole:
         return True
     pair, k = Counter(zip(words, words[1:], strict=False)).most_common(1)[0]
@@ -303,8 +345,13 @@ def form(text: str | None) -> str | None:
     if _repeated(text):
         return "junk"
     share: Counter[str] = Counter()
-    for kind, n in line_kinds(text):
+    kinds = line_kinds(text)
+    for kind, n in kinds:
         share[kind] += n
+    if share["prose"]:
+        again = share["prose"] * _again([x for x, (kind, _) in zip(filter(str.strip, _LINES.split(text)), kinds, strict=True) if kind == "prose"])
+        share["prose"] -= again
+        share["junk"] += again
     total = sum(share.values())
     what, n = max(((k, share[k]) for k in ("list", "table", "junk")), key=lambda x: x[1])
     return what if n > 0.5 * total else None
