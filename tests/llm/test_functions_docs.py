@@ -182,3 +182,29 @@ def test_hostile_files_take_linear_time():
             began = time.time()
             functions(file, None, text)
             assert time.time() - began < 5, text[:10]
+
+
+def test_types_of_any_length():
+    wide = "{ " + " ".join(f"a{i}: string;" for i in range(900)) + " }"
+    many = ", ".join(f"T{i}" for i in range(400))
+    for text in (f"function f(): {wide} {{ return x; }}", f"const f = (): {wide} => {{ return x; }};", f"function f<{many}>(a) {{ return a; }}", f"const f: {' | '.join(f'T{i}' for i in range(1500))} = () => {{ }};"):
+        assert [x[1] for x in functions("a.ts", None, text)] == ["f"], text[:40]
+
+
+def test_types_of_modules():
+    assert [x[1] for x in functions("a.ts", None, 'const h: import("m").T = () => {};\nfunction f(): import("m").T { return 1; }\n')] == ["h", "f"]
+    assert [x[1] for x in functions("a.ts", None, "declare const h: A |\nimport x from 'y'\nfunction f() { }\n")] == ["f"]
+
+
+def test_brackets_left_open_are_passed_over():
+    text = "function f() { x" + "(" * 60 + " }\nfunction g() { }\n"
+    assert [x[1] for x in functions("a.ts", None, text)] == ["f", "g"]
+
+
+def test_types_across_lines_take_linear_time():
+    import time
+
+    for text in ("class A {\n" + "m: A|\n" * 20_000 + "}", "class A {\n" + "m(): A<\n" * 20_000 + "}", "{(" * 20_000 + ")" * 20_000 + "]}" * 20_000):
+        began = time.time()
+        functions("a.ts", None, text)
+        assert time.time() - began < 5, text[:20]

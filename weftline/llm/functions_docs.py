@@ -33,6 +33,7 @@ _REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/\w*"
 _SCRIPTS = re.compile(r"<script\b[^>]*>(.*?)(?:</script\s*>|\Z)", re.S | re.I)
 _BEFORE_REGEX = {"return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "else", "do", "await", "yield"}
 _CLOSE = {"(": ")", "[": "]", "{": "}"}
+_OPEN = {y: x for x, y in _CLOSE.items()}
 _MODIFIERS = {"public", "private", "protected", "static", "async", "override", "readonly", "get", "set", "abstract", "declare", "accessor"}
 _CONTROL = {"if", "for", "while", "switch", "catch", "with", "return", "function", "else", "do", "try", "new", "await", "typeof", "throw"}
 
@@ -108,20 +109,23 @@ def _lex_js(text: str, start: int, end: int, out: _Tokens) -> None:
 
 
 def _pairs(t: _Tokens) -> dict[int, int]:
-    """Opening bracket to the bracket that closes it; what stays open ends with the file."""
+    """Opening bracket to the bracket that closes it; what stays open ends before the bracket that closes one around it, or with the file."""
     close: dict[int, int] = {}
     stack: list[int] = []
+    of: dict[str, list[int]] = {x: [] for x in _CLOSE.values()}  # places in the stack by what closes them
     for i, (kind, x) in enumerate(zip(t.kind, t.text, strict=True)):
         if kind != "p":
             continue
         if x in _CLOSE:
+            of[_CLOSE[x]].append(len(stack))
             stack.append(i)
-        elif x in ")]}":
-            for j in range(len(stack) - 1, max(-1, len(stack) - 50), -1):  # brackets that don't match are passed over
-                if _CLOSE[t.text[stack[j]]] == x:
-                    close[stack[j]] = i
-                    del stack[j:]
-                    break
+        elif x in of and of[x]:  # brackets that don't match are passed over
+            j = of[x][-1]
+            close[stack[j]] = i
+            for y in stack[j:]:
+                of[_CLOSE[t.text[y]]].pop()
+            close |= dict.fromkeys(stack[j + 1 :], i - 1)
+            del stack[j:]
     return close | dict.fromkeys(stack, len(t.kind))
 
 
@@ -173,32 +177,47 @@ def _js_functions(text: str, t: _Tokens) -> Iterator[tuple[int, str, int, int, _
     c.kind, c.text, c.at = kind, word, at
     close = _pairs(c)
 
+    generics: dict[int, int] = {}  # < to the > that closes it, within the same brackets and statement
+    ends: set[int] = set()
+    opened: list[tuple[str, int]] = []  # < and where it is, or a bracket and where it ends
+    for i in range(n):
+        while opened and opened[-1][0] == "<" and word[i] == ";":
+            opened.pop()
+        if kind[i] != "p":
+            continue
+        if word[i] == "<":
+            opened.append(("<", i))
+        elif word[i] == ">" and opened and opened[-1][0] == "<":
+            generics[opened.pop()[1]] = i
+        elif word[i] in _CLOSE and i in close:
+            opened.append((word[i], close[i]))
+            if close[i] < n and word[close[i]] == _CLOSE[word[i]]:
+                ends.add(close[i])
+        elif i in ends:
+            while opened.pop() != (_OPEN[word[i]], i):
+                pass
+
     def after_generics(j: int) -> int:
         """Behind <...> if that is what stands at j."""
-        if j < n and word[j] == "<":
-            depth, k = 0, j
-            while k < min(n, j + 400):
-                if word[k] == "<":
-                    depth += 1
-                elif word[k] == ">":
-                    depth -= 1
-                    if depth == 0:
-                        return k + 1
-                elif word[k] in _CLOSE and k in close and kind[k] == "p":
-                    k = close[k]
-                k += 1
-        return j
+        return generics[j] + 1 if j in generics else j
+
+    walked: dict[tuple[int, bool, tuple[str, ...]], int] = {}  # where types from a token on end
 
     def behind_type(j: int, stop: tuple[str, ...]) -> int:
-        """The place of the first of `stop` behind a type that begins at j; n if there is none within 2,000 tokens, brackets counting as one."""
+        """The place of the first of `stop` behind a type that begins at j; n if there is none. No token is walked twice."""
         wants = True  # the type is not complete yet
-        last = min(n, j + 2000)
-        while j < last:
+        way, end = [], n
+        while j < n:
+            if (j, wants, stop) in walked:
+                end = walked[j, wants, stop]
+                break
+            way.append((j, wants, stop))
             x = word[j]
             if x in stop and (not wants or x != "{"):
-                return j
-            if x in (";", ")", "]", "}", ",", "const", "let", "var", "return", "import", "export") or (begins[j] and not wants and x not in ("|", "&", ".", "[", "<")):
-                return n
+                end = j
+                break
+            if x in (";", ")", "]", "}", ",", "const", "let", "var", "return", "export") or (x == "import" and word[j + 1 : j + 2] != ["("]) or (begins[j] and not wants and x not in ("|", "&", ".", "[", "<")):
+                break
             if x == "<":
                 k = after_generics(j)
                 j, wants = (k, False) if k > j else (j + 1, True)
@@ -208,7 +227,8 @@ def _js_functions(text: str, t: _Tokens) -> Iterator[tuple[int, str, int, int, _
                 continue
             wants = kind[j] == "o" or x in ("|", "&", ":", "?", ".") or kind[j] == "a" or x in ("is", "keyof", "typeof", "extends", "readonly", "infer", "asserts", "unique")
             j += 1
-        return n
+        walked.update(dict.fromkeys(way, end))
+        return end
 
     def body_of(j: int, arrow: bool) -> tuple[int, int] | None:
         """(first token, last token) of the body of a function whose parameters open at j."""
