@@ -203,3 +203,18 @@ def test_partitions_do_not_change_results(spark, flows):
         assert rows(flow.flow_sizes(flows), "id", "size") == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_closure_goes_to_the_end_of_any_chain(spark, monkeypatch):
+    from unittest.mock import MagicMock
+
+    written = []
+    monkeypatch.setattr(traverse, "place", lambda *_: "x")
+    monkeypatch.setattr(traverse, "_adjacency", lambda *_: MagicMock())
+    monkeypatch.setattr(traverse, "_levels", lambda *_: MagicMock())
+    monkeypatch.setattr(traverse, "_write", lambda df, path: written.append(path) or int(len(written) <= 10_005))  # a chain of as many levels
+    traverse.closure(MagicMock(), MagicMock())
+    assert len(written) == 10_006
+    written.clear()
+    traverse.closure(MagicMock(), MagicMock(), most=3)
+    assert len(written) == 4

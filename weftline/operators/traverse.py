@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 from weftline.sources.scratch import keep, place
 
-MOST_LEVELS = 10_000
-
 
 def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
@@ -30,10 +28,11 @@ def _adjacency(links: DataFrame, reverse: bool, cols: tuple[str, ...] = ()) -> D
     return step.repartition(parts, "repo", "at").persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def closure(links: DataFrame, seeds: DataFrame, reverse: bool = False, most: int = MOST_LEVELS) -> DataFrame:
+def closure(links: DataFrame, seeds: DataFrame, reverse: bool = False, most: int | None = None) -> DataFrame:
     """(repo, root, id, depth): what each seed reaches, by the fewest steps; the seed itself at depth 0.
 
     links: (repo, src, dst). seeds: (repo, root, id). Seeds need not be nodes. Cycles end where they began. An empty set of seeds gives no rows.
+    most: so many steps at most; without it, to the end of the longest chain.
     """
     spark = links.sparkSession
     step = _adjacency(links, reverse)
@@ -41,7 +40,7 @@ def closure(links: DataFrame, seeds: DataFrame, reverse: bool = False, most: int
     at = lambda depth: f"{base}/depth={depth}"  # noqa: E731  the depth is a partition, so every level has the same plan and the same code
     n = _write(seeds.select("repo", "root", "id").distinct(), at(0))
     depth = 0
-    while n and depth < most:
+    while n and (most is None or depth < most):
         level = spark.read.schema("repo string, root string, id string").parquet(at(depth))
         seen = _levels(spark, base, depth)
         depth += 1
@@ -70,7 +69,7 @@ def _levels(spark: SparkSession, base: str, depth: int) -> DataFrame:
     return spark.read.schema("repo string, root string, id string, depth bigint").option("basePath", base).parquet(*(f"{base}/depth={d}" for d in range(depth + 1)))
 
 
-def impact(links: DataFrame, seeds: DataFrame, most: int = MOST_LEVELS) -> DataFrame:
+def impact(links: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
     """(repo, root, id, depth, confidence): transitive callers of each seed without the seed; confidence is 1 / depth."""
     return closure(links, seeds, reverse=True, most=most).where("depth > 0").withColumn("confidence", 1 / F.col("depth"))
 
