@@ -179,3 +179,12 @@ def test_visible_and_actions(spark, demo):
     df = spark.createDataFrame([('say {"tool": "impact", "id": "x"} now',), ("none",)], "t string")
     got = [r[0] for r in df.select(json_action(F.col("t"), "tool string, id string")).collect()]
     assert got[0].tool == "impact" and got[1] is None
+
+
+def test_late_calls_count(spark, tmp_path):
+    src, got = str(tmp_path / "in"), {}
+    for k, at in enumerate(("2024-06-01", "2024-06-02", "2024-01-05")):  # the last comes months late
+        spark.createDataFrame([("r", k, "a", "b", "calls")], "repo string, ord bigint, src string, dst string, kind string").selectExpr("*", f"timestamp_ntz'{at} 00:00:00' AS indexed_at").coalesce(1).write.mode("append").parquet(src)
+        put = lambda batch, _: got.update({r.month: r.n for r in batch.collect()})
+        reload.monthly_calls(reload.edge_stream(spark, src, 1)).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(60)
+    assert sum(got.values()) == 3
