@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from helpers import EDGE_ROWS, edge_rows, rows
-from weftline.operators.hierarchy import descendants, hierarchy
+from weftline.operators.hierarchy import descendant_lists, descendants, hierarchy
 
 
 def brute(edges):
@@ -72,3 +72,25 @@ def test_empty_and_extra_columns(spark):
     assert hierarchy(e).count() == 0
     more = edge_rows(spark, CASES["tree"]).selectExpr("*", "'x' AS id", "1 AS parent", "2 AS kids", "3 AS size", "4 AS path")
     assert hierarchy(more).count() == 7
+
+
+@pytest.mark.parametrize("case", CASES)
+@pytest.mark.parametrize("how", [{}, {"rounds": 0}, {"rounds": 1, "bound": 2}], ids=str)
+def test_lists_sent_up_are_those_read_off_paths(spark, case, how):
+    e = edge_rows(spark, CASES[case])
+    key = lambda r: str(r)
+    assert sorted(map(tuple, descendant_lists(e, **how).collect()), key=key) == sorted(map(tuple, descendants(hierarchy(e)).collect()), key=key)
+
+
+def test_lists_in_blocks_and_hot_parents(spark):
+    e = edge_rows(spark, [("r", "p", f"c{i}", "defines") for i in range(200)] + [("r", "top", "p", "defines")])
+    got = descendant_lists(e, block=50).where("id = 'p'").collect()
+    assert len(got) == 5 and sorted(m for r in got for m in r.members) == sorted(f"c{i}" for i in range(200))
+    tree = hierarchy(e, budget=20)
+    assert {(r.root, r.depth) for r in tree.where("id LIKE 'c%'").collect()} == {("top", 2)} and tree.count() == 202
+
+
+def test_long_chain_takes_few_rounds(spark):
+    """Beyond the bound, pointer jumping: 300 levels, and a loop with a tail beside them."""
+    chain = [("r", f"n{i:03}", f"n{i + 1:03}", "defines") for i in range(300)]
+    check(spark, chain + [("r", "x", "y", "defines"), ("r", "y", "x", "defines"), ("r", "y", "tail", "defines")], rounds=1, bound=10)

@@ -69,3 +69,31 @@ def test_empty(spark):
     assert orphans.orphans(*t).count() == 0 and orphans.standing_orphans(*t).count() == 0
     one = tables(spark, [("r", 1, "a", "b", "calls", day(1))])
     assert rows(orphans.orphans(*one), "tab", "period", "ord") == [("edges", "2024-01", 1)]
+
+
+def test_deletions_reopen_and_slices_agree(spark):
+    """An orphan whose record came and went stands again; a good reference that lost its record does too; any number of slices gives the same."""
+    t = tables(
+        spark,
+        [("r", 1, "a", "x", "calls", day(5)), ("r", 2, "a", "y", "calls", day(12)), ("r", 3, "a", "z", "calls", day(3)), ("r", 4, "a", "never", "calls", day(20, 3))],
+        [("r", "x", day(10), day(12)), ("r", "y", day(1), day(3, 2)), ("r", "z", day(1), day(9)), ("r", "z", day(2, 3), None)],
+    )
+    assert rows(orphans.standing_orphans(*t)) == [("edges", "2024-01", 2), ("edges", "2024-02", 3), ("edges", "2024-03", 3)]
+    assert rows(orphans.reopened_orphans(*t)) == [("edges", "2024-01", 2), ("edges", "2024-02", 3), ("edges", "2024-03", 2)]
+    for slices in (1, 2, 12):
+        got = orphans.orphans(*t, slices=slices)
+        assert rows(got, "ord", "resolved_at")[0] == (1, day(10)) and [r[0] for r in rows(got, "ord")] == [1, 4]
+
+
+def test_a_slice_touches_only_its_buckets(spark):
+    """Slices given one by one: a record's end alone reopens what its key holds, and folders of other keys' buckets stay."""
+    lives = "repo string, id string, start timestamp_ntz, end timestamp_ntz"
+    refs = "tab string, repo string, ord bigint, id string, at timestamp_ntz"
+    first = spark.createDataFrame([("edges", "r", i, f"k{i}", day(5)) for i in range(20)], refs)
+    state = orphans.advance(orphans.start(first), first, spark.createDataFrame([("r", f"k{i}", day(1), None) for i in range(20)], lives))
+    assert state.standing()["edges"] == 0
+    later = orphans.advance(state, first.limit(0), spark.createDataFrame([("r", "k3", None, day(9))], lives))
+    assert later.standing()["edges"] == 1 and later.waits["edges"] == 0
+    assert len([b for b in state.index if state.index[b] != later.index[b]]) == 1
+    again = orphans.advance(later, spark.createDataFrame([("edges", "r", 99, "k3", day(11))], refs), spark.createDataFrame([("r", "k3", day(12), None)], lives))
+    assert again.standing()["edges"] == 0 and rows(again.orphans, "ord", "resolved_at") == [(99, day(12))]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.operators.edges import clean_kind, is_edge
+from weftline.sources.scratch import keep
 
 
 def per_key(rows: DataFrame, keys: list[Column], states: dict[str, Column]) -> DataFrame:
@@ -56,19 +57,40 @@ def heavy_targets(edges: DataFrame, share: float = 0.02) -> DataFrame:
     return counts.where(F.col("n") >= F.lit(math.ceil(share * total - 1e-9))).select("dst", "kind")
 
 
-def hot_keys(rows: DataFrame, keys: list[str], parts: int = 1000, least: int = 20_000) -> DataFrame:
-    """Keys with more than one `parts`-th of all rows and more than `least` rows: at most `parts` of them, by counting."""
+TASK_ROWS, MOST_HOT = 200_000, 20_000
+"""Rows of one key that a task may take, and most keys that count as hot: the budget of a task grows once the table is larger than their product."""
+
+
+def dealt_keys(rows: DataFrame, keys: list[str], total: int | None = None, budget: int = TASK_ROWS, most: int = MOST_HOT) -> DataFrame:
+    """(keys, salts): keys with more rows than one task should take, and over how many tasks each is to be dealt.
+
+    A key is hot by rows per task, not by its share. There are fewer than `most` of them, and fewer than twice that salts in all, whatever the table's size:
+    the budget is at least a `most`-th of all rows. total: the number of rows, if it is known.
+    """
+    budget = max(budget, (rows.count() if total is None else total) // most)
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_key"))
-    return counts.where(F.col("n_key") > max(least, rows.count() // parts)).select(*keys)
+    return counts.where(F.col("n_key") > budget).select(*keys, F.ceil(F.col("n_key") / budget).cast("int").alias("salts"))
+
+
+def hot_keys(rows: DataFrame, keys: list[str], parts: int = MOST_HOT, least: int = TASK_ROWS) -> DataFrame:
+    """The keys alone: those with more than one `parts`-th of all rows and more than `least` rows."""
+    return dealt_keys(rows, keys, budget=least, most=parts).select(*keys)
 
 
 def spread(rows: DataFrame, other: DataFrame, keys: list[str], by: Column, hot: DataFrame, salts: int = 32) -> tuple[DataFrame, DataFrame]:
     """Both sides of an equi-join on `keys` with a column `salt` to be added to the join keys.
 
-    Rows of hot keys are dealt to `salts` tasks by a hash of `by`; the other side repeats only its rows of hot keys. Every other
-    row has salt 0. `hot` has at most a fixed number of keys (see hot_keys), so it is broadcast.
+    Rows of a hot key are dealt to as many tasks as `hot` says (`salts`, where it has no such column) by a hash of `by`; the other side repeats only its rows of hot keys,
+    once a salt. Every other row has salt 0. `hot` comes from dealt_keys or hot_keys, so its size is bounded and it is broadcast.
     """
-    mark = F.broadcast(hot.withColumn("is_hot", F.lit(True)))
-    a = rows.join(mark, keys, "left").withColumn("salt", F.when(F.col("is_hot"), F.pmod(F.xxhash64(by), F.lit(salts))).otherwise(F.lit(0)).cast(T.IntegerType())).drop("is_hot")
-    b = other.join(mark, keys, "left").withColumn("salt", F.explode(F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("is_hot")
+    mark = F.broadcast(hot if "salts" in hot.columns else hot.withColumn("salts", F.lit(salts)))
+    a = rows.join(mark, keys, "left").withColumn("salt", F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64(by), F.col("salts"))).otherwise(F.lit(0)).cast(T.IntegerType())).drop("salts")
+    b = other.join(mark, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
     return a, b
+
+
+def salted(rows: DataFrame, other: DataFrame, keys: list[str], by: Column, total: int | None = None, hot: DataFrame | None = None, budget: int = TASK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """spread by the hot keys of rows, or by those given. A table known to be within one task's budget has nothing to count and nothing to deal."""
+    if hot is None and total is not None and total <= budget:
+        return rows.withColumn("salt", F.lit(0)), other.withColumn("salt", F.lit(0))
+    return spread(rows, other, keys, by, keep(dealt_keys(rows, keys, total, budget), "hot") if hot is None else hot)

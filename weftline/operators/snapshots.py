@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.sources.scratch import keep
+
 SALTS = 16
 
 
@@ -27,10 +29,10 @@ def canonical(rows: DataFrame) -> DataFrame:
 def snapshot_changes(rows: DataFrame) -> DataFrame:
     """(snapshot_no, repo, id, change) against the last earlier snapshot that has rows of the repo.
 
-    A repo's first snapshot gives no rows. The list of snapshots of each repo is short; it meets the rows on (repo, snapshot_no, salt),
+    A repo's first snapshot gives no rows. The canonical rows are written once; the chain of snapshots and both sides of the join are read from them. The list of snapshots of each repo is short; it meets the rows on (repo, snapshot_no, salt),
     with the salt taken from the id, so that a repo with a third of all rows is spread over 16 tasks.
     """
-    rows = canonical(rows)
+    rows = keep(canonical(rows), "canonical")
     seen = rows.select("repo", "snapshot_no").distinct()
     order = W.partitionBy("repo").orderBy("snapshot_no")
     chain = seen.select("repo", "snapshot_no", F.lead("snapshot_no").over(order).alias("next_no"), F.lag("snapshot_no").over(order).alias("prev_no"))

@@ -30,7 +30,7 @@ def p2_hierarchy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.descendants(hierarchy.hierarchy(table(spark, d, "edges"))).selectExpr("repo", "id", "CAST(block_no AS bigint) AS block_no", "array_join(members, '\n') AS members")
+    return hierarchy.descendant_lists(table(spark, d, "edges")).selectExpr("repo", "id", "CAST(block_no AS bigint) AS block_no", "array_join(members, '\n') AS members")
 
 
 def p2_loops(spark: SparkSession, d: str) -> DataFrame:
@@ -53,6 +53,10 @@ def p3_standing(spark: SparkSession, d: str) -> DataFrame:
     return orphans.standing_orphans(*_p3(spark, d))
 
 
+def p3_reopened(spark: SparkSession, d: str) -> DataFrame:
+    return orphans.reopened_orphans(*_p3(spark, d))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return snapshots.snapshot_changes(table(spark, d, "node_snapshots"))
 
@@ -83,7 +87,7 @@ old AS (SELECT s.repo, s.id, s.sig, s.line, c.snapshot_no FROM s JOIN c ON c.rep
 both_sides AS (SELECT snapshot_no, repo, id, CASE WHEN old.sig IS NULL THEN 'added' WHEN now.sig IS NULL THEN 'removed'
   WHEN now.sig <> old.sig OR now.line IS DISTINCT FROM old.line THEN 'changed' END AS change FROM now FULL JOIN old USING (snapshot_no, repo, id))"""
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_targets, p2_found, p2_hierarchy, p2_descendants, p2_loops, p3_found, p3_report, p3_standing, p4_found, p4_counts)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_targets, p2_found, p2_hierarchy, p2_descendants, p2_loops, p3_found, p3_report, p3_standing, p3_reopened, p4_found, p4_counts)}
 
 SQL: dict[str, str] = {
     "p1_found": f"SELECT dst, {KIND} AS kind FROM edges WHERE dst <> '' GROUP BY ALL HAVING count(*) >= 0.02 * (SELECT count(*) FROM edges)",
@@ -108,6 +112,9 @@ SQL: dict[str, str] = {
     "p3_standing": f"""{REFS}, m AS (SELECT CAST(unnest(generate_series((SELECT date_trunc('month', min(t)) FROM r), (SELECT max(t) FROM r), INTERVAL 1 MONTH)) AS TIMESTAMP) AS month)
         SELECT tab, strftime(month, '%Y-%m') AS period, count(*) AS standing FROM r JOIN m ON r.t < month + INTERVAL 1 MONTH
         WHERE NOT EXISTS (SELECT 1 FROM nodes n WHERE n.repo = r.repo AND n.id = r.id AND n.indexed_at <= month + INTERVAL 1 MONTH AND (n.removed_at IS NULL OR n.removed_at > month + INTERVAL 1 MONTH)) GROUP BY ALL""",
+    "p3_reopened": f"""{REFS}, m AS (SELECT CAST(unnest(generate_series((SELECT date_trunc('month', min(t)) FROM r), (SELECT max(t) FROM r), INTERVAL 1 MONTH)) AS TIMESTAMP) + INTERVAL 1 MONTH AS upto)
+        SELECT tab, strftime(upto - INTERVAL 1 MONTH, '%Y-%m') AS period, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM nodes n WHERE {LIVE}) OR EXISTS (SELECT 1 FROM nodes n WHERE n.repo = r.repo AND n.id = r.id AND n.indexed_at > r.t AND n.indexed_at <= upto)) AS reopened FROM r JOIN m ON r.t < upto
+        WHERE NOT EXISTS (SELECT 1 FROM nodes n WHERE n.repo = r.repo AND n.id = r.id AND n.indexed_at <= upto AND (n.removed_at IS NULL OR n.removed_at > upto)) GROUP BY ALL""",
     "p4_found": f"{CHANGES} SELECT * FROM both_sides WHERE change IS NOT NULL",
     "p4_counts": f"{CHANGES} SELECT snapshot_no, change, count(*) AS n FROM both_sides WHERE change IS NOT NULL GROUP BY ALL",
 }

@@ -10,7 +10,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -42,6 +43,14 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, path: str, by: str | None = None) -> int:
+    """Writes the rows to a path, in one folder per value of `by` if given, and returns their number, counted on the way."""
+    seen = Observation()
+    write = df.observe(seen, F.count(F.lit(1)).alias("n")).write
+    (write.partitionBy(by) if by else write).parquet(path)
+    return seen.get["n"]
+
+
 def forget(upto: int = 0) -> None:
     """Deletes the tables written so far, but for the first `upto`. Call it only when no lazy result needs them any more."""
     while len(_made) > upto:
