@@ -218,3 +218,33 @@ def test_closure_goes_to_the_end_of_any_chain(spark, monkeypatch):
     written.clear()
     traverse.closure(MagicMock(), MagicMock(), most=3)
     assert len(written) == 4
+
+
+@pytest.mark.parametrize("seed", [1, 5])
+def test_loops_and_tasks_give_the_same(spark, seed):
+    """Repos beyond the bound go through loops of joins: same rows, one repo either way, both at once."""
+    rng = random.Random(seed)
+    ids = [f"n{i}" for i in range(12)]
+    edges = [(r, i, rng.choice(ids), rng.choice(ids), "calls") for r, n in (("big", 30), ("small", 12)) for i in range(n)]
+    edges = [e for e in edges if e[2] != e[3]]
+    e = spark.createDataFrame(edges, "repo string, ord bigint, src string, dst string, kind string")
+    links = e.select("repo", "src", "dst")
+    own = spark.createDataFrame([(r, i, i) for r in ("big", "small") for i in ids], "repo string, root string, id string")
+    half = own.select("repo", "id").where("id < 'n5'")
+    for how in ({}, {"reverse": True, "most": 2}):
+        want = rows(traverse.closure(links, own, **how))
+        assert rows(traverse.reached(links, own, **how)) == want == rows(traverse.reached(links, own, bound=15, **how))
+    assert rows(traverse.reach_counts(links, own, half)) == rows(traverse.reach_counts(links, own, half, bound=15, roots=3))
+    assert rows(traverse.first_root(links, half)) == rows(traverse.first_root(links, half, bound=15))
+    pairs = own.select("repo", F.col("id").alias("src"), F.lit("n3").alias("dst"))
+    assert rows(traverse.trace(e, pairs)) == rows(traverse.trace(e, pairs, bound=15))
+
+
+def test_many_roots_in_several_blocks(spark, monkeypatch):
+    from weftline.operators import intask
+
+    monkeypatch.setattr(intask, "ROOTS", 7)
+    links = spark.createDataFrame([("r", f"n{i:03}", f"n{i + 1:03}") for i in range(200)], "repo string, src string, dst string")
+    own = spark.createDataFrame([("r", f"n{i:03}", f"n{i:03}") for i in range(201)], "repo string, root string, id string")
+    assert rows(traverse.reach_counts(links, own), "root", "n") == [(f"n{i:03}", 201 - i) for i in range(201)]
+    assert traverse.reached(links, own).count() == 201 * 202 // 2

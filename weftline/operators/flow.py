@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.graph import Graph
-from weftline.operators.traverse import closure, impact, least_label
+from weftline.operators.traverse import first_root, impact, reach_counts, reached
 from weftline.schema import CALLABLE
 
 
@@ -21,7 +21,7 @@ def entry_points(g: Graph) -> DataFrame:
 def flow_nodes(g: Graph, roots: DataFrame) -> DataFrame:
     """(repo, root, id): the symbols of the graph in the flow of each (repo, id) of roots, the root included if it is one."""
     seeds = roots.select("repo", F.col("id").alias("root"), "id")
-    return closure(g.calls(), seeds).join(g.nodes.select("repo", "id"), ["repo", "id"], "left_semi").select("repo", "root", "id")
+    return reached(g.calls(), seeds).join(g.nodes.select("repo", "id"), ["repo", "id"], "left_semi").select("repo", "root", "id")
 
 
 def flow_edges(g: Graph, flow: DataFrame) -> DataFrame:
@@ -32,17 +32,17 @@ def flow_edges(g: Graph, flow: DataFrame) -> DataFrame:
 
 
 def flow_sizes(g: Graph) -> DataFrame:
-    """(repo, id, name, size): how many symbols the flow of each entry point has. One closure for all entries."""
+    """(repo, id, name, size): how many symbols the flow of each entry point has. Counted where the flows are walked: no pairs of entry and symbol are made."""
     entries = entry_points(g)
-    sizes = flow_nodes(g, entries).groupBy("repo", F.col("root").alias("id")).agg(F.count(F.lit(1)).alias("size"))
+    sizes = reach_counts(g.calls(), entries.select("repo", F.col("id").alias("root"), "id"), g.nodes.select("repo", "id")).select("repo", F.col("root").alias("id"), F.col("n").alias("size"))
     return entries.select("repo", "id", "name").join(sizes, ["repo", "id"])
 
 
 def process_of(g: Graph) -> DataFrame:
     """(repo, id, process): the name of the first entry point, by id, whose flow reaches the symbol; '' if none does."""
     entries = entry_points(g).select("repo", "id", "name")
-    first = least_label(g.calls(), entries.select("repo", "id", F.struct(F.col("id").alias("entry"), "name").alias("label")))
-    return g.nodes.select("repo", "id").join(first, ["repo", "id"], "left").select("repo", "id", F.coalesce("label.name", F.lit("")).alias("process"))
+    named = first_root(g.calls(), entries).join(entries.select("repo", F.col("id").alias("root"), F.col("name").alias("process")), ["repo", "root"])
+    return g.nodes.select("repo", "id").join(named, ["repo", "id"], "left").select("repo", "id", F.coalesce("process", F.lit("")).alias("process"))
 
 
 def processes_of(g: Graph, seeds: DataFrame) -> DataFrame:
@@ -64,5 +64,5 @@ def caller_counts(g: Graph, files: DataFrame | None = None) -> DataFrame:
     """(repo, file, id, callers): symbols with callers, direct or not, in the given (repo, file), or in all files."""
     own = g.nodes.where("file <> ''")
     own = own if files is None else own.join(files.select("repo", "file").distinct(), ["repo", "file"], "left_semi")
-    n = impact(g.calls(), own.select("repo", F.col("id").alias("root"), "id")).groupBy("repo", F.col("root").alias("id")).agg(F.count(F.lit(1)).alias("callers"))
+    n = reach_counts(g.calls(), own.select("repo", F.col("id").alias("root"), "id"), reverse=True).where("n > 1").select("repo", F.col("root").alias("id"), (F.col("n") - 1).alias("callers"))
     return own.select("repo", "file", "id").join(n, ["repo", "id"]).select("repo", "file", "id", "callers")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +22,7 @@ class Graph:
     edges: DataFrame
     routes: DataFrame
     shapes: DataFrame | None = None
+    _calls: DataFrame | None = field(default=None, init=False, repr=False, compare=False)
 
     def of(self, *repos: str) -> Graph:
         """The part of the graph in the named repos; partitioned storage reads nothing else."""
@@ -32,8 +33,10 @@ class Graph:
         return self.edges.where(F.col("kind") == kind)
 
     def calls(self) -> DataFrame:
-        """(repo, src, dst): each call relationship once."""
-        return self.kind("calls").select("repo", "src", "dst").distinct()
+        """(repo, src, dst): each call relationship once, written the first time it is asked for."""
+        if self._calls is None:
+            self._calls = keep(self.kind("calls").select("repo", "src", "dst").distinct(), "calls")
+        return self._calls
 
     def merge(self, other: Graph) -> Graph:
         """Union of two graphs. Of two nodes with one key this graph's holds; edges keep their multiplicity, and loops and edges without ends go."""
@@ -41,7 +44,8 @@ class Graph:
         cols = [c for c in self.nodes.columns if c not in ("repo", "id")]
         nodes = rank.where("id <> ''").groupBy("repo", "id").agg(F.min_by(F.struct(*cols), "_first").alias("n")).select("repo", "id", *(F.col(f"n.{c}").alias(c) for c in cols))
         edges = self.edges.withColumn("_first", F.lit(0)).unionByName(other.edges.withColumn("_first", F.lit(1))).where(is_edge())
-        edges = edges.withColumn("ord", F.col("ord") + F.col("_first") * F.lit(1 << 40)).drop("_first")  # the other's edges come after
+        last = self.edges.groupBy("repo").agg(F.max("ord").alias("_last"))  # the other's edges come after
+        edges = edges.join(last, "repo", "left").withColumn("ord", F.when(F.col("_first") == 0, F.col("ord")).otherwise(F.col("ord") + F.coalesce(F.col("_last") + 1, F.lit(0)))).select(*self.edges.columns)
         shapes = self.shapes.unionByName(other.shapes) if self.shapes is not None and other.shapes is not None else self.shapes if other.shapes is None else other.shapes
         return Graph(nodes.select(self.nodes.columns), edges, self.routes.unionByName(other.routes), shapes)
 

@@ -36,11 +36,15 @@ def place(spark: SparkSession, label: str) -> str:
 
 
 def keep(df: DataFrame, label: str) -> DataFrame:
-    """Writes the rows once and returns a scan of them. Columns of equal name must be renamed before."""
+    """Writes the rows once and returns a scan of them; such a scan is returned as it is. Columns of equal name must be renamed before."""
+    if getattr(df, "_weftline_kept", False) is True:
+        return df
     spark = df.sparkSession
     path = place(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._weftline_kept = True
+    return out
 
 
 def counted(df: DataFrame, path: str, by: str | None = None) -> int:
