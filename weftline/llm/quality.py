@@ -1,15 +1,18 @@
 """Problem 9: per-document text quality statistics, and the form of texts that are no natural prose.
 
 The statistics are those common in corpus filtering: words, mean word length, symbols, line ends, common words, and repetition (shares of
-duplicate lines and paragraphs, characters covered by the dominant n-gram). The form follows from combined rules over the
-same counts, taken line by line: each line's characters go to prose, code, list, table or junk, prose that says the same thing over and
-over (by characters of repeated lines and sentences and of dominant n-grams) to junk, and a form is given when it holds more than half of the text's characters. Documents are independent: one mapInArrow, no shuffle, whole texts.
+duplicate lines and paragraphs, characters covered by the dominant n-gram). The form follows from combined rules over the same measurements (`Measures`), which
+are taken at most once per text: each line's characters go to prose, code, list, table or junk; what repeated lines, paragraphs, sentences and runs and the dominant
+n-gram cover of the prose goes to junk; lines that most of its paragraphs share (boilerplate) count as said once; and a form is given when it
+holds more than half of the text's characters. Documents are independent: one mapInArrow, no shuffle, whole texts. One pass gives both the statistics and the form.
 """
 
 from __future__ import annotations
 
+import re as plain_re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import repeat
 
 import pyarrow as pa
@@ -44,7 +47,7 @@ _MARK = re.compile(
 _STAMP = re.compile(
     r"^\W{0,3}(?:\d{4}[-/.]\d\d[-/.]\d\d[T _]?\d\d:\d\d|\d\d[-/.]\d\d[-/.]\d{2,4}[T ,]+\d\d:\d\d|[A-Z][a-z]{2} +\d{1,2} \d\d:\d\d:\d\d|\d\d:\d\d:\d\d|\d{10,13}[ .\]]|(?:TRACE|DEBUG|INFO|WARN(?:ING)?|ERROR|FATAL|CRITICAL|NOTICE)\b[\]: ]|[IWEF]\d{4} \d\d:|\d{1,3}(?:\.\d{1,3}){3} - )"
 )
-_TRACE = re.compile(r"^\s*(?:at [\w$.<>]+\s?\(|File \"|Traceback \(|goroutine \d+|\w+(?:\.\w+)*(?:Error|Exception)\b|Caused by:|\.\.\. \d+ more|[0-9a-f]{6,16}:?\s+(?:[0-9a-f]{2,4}\s+){4}|(?:[0-9a-f]{2}[ :]){8}|\[\s*\d+\.\d+\]|--- (?:FAIL|PASS)|(?:===|---) (?:RUN|PASS|FAIL)|\d+ packets|[rwx-]{10} )")
+_TRACE = re.compile(r"^\s*(?:at [\w$.<>]+\s?\(|File \"|Traceback \(|goroutine \d+|\w+(?:\.\w+)*(?:Error|Exception)\b|Caused by:|\.\.\. \d+ more|[0-9a-f]{6,16}:?\s+(?:[0-9a-f]{2,4}\s+){4}|(?:[0-9a-f]{2}[ :]){8}|\[\s*\d+\.\d+\])")
 _HTML_ROW = re.compile(r"</?(?:table|thead|tbody|tfoot|tr|td|th|caption|colgroup)\b", re.I)
 _RULE = re.compile(r"^[\s|+:=\-─━═│┃┌┐└┘├┤┬┴┼╔╗╚╝╠╣╦╩╬╭╮╰╯┏┓┗┛┣┫┳┻╋*]+$")
 _LATEX = re.compile(r"&.*\\\\\s*(?:\\hline)?\s*$|^\s*\\(?:hline|toprule|midrule|bottomrule|begin\{tabular|end\{tabular)")
@@ -56,59 +59,179 @@ _HARD = re.compile(r"[bcdfghjklmnpqrstvwxz]{5,}|[bcdfghjklmnpqrstvwxz]{2}[jqvx][
 _MOJIBAKE = re.compile(r"\ufffd|[ÂÃÐÑ][\u0080-\u00bf]|â€|ï¿½|[\u0080-\u009f]|[\x00-\x08\x0b\x0e-\x1f]")
 
 
+# the same for ASCII texts, where the standard library's engine is faster
+_ASCII_WORD = plain_re.compile(r"[A-Za-z0-9_]+(?:['\-][A-Za-z0-9_]+)*")
+_ASCII_PART = plain_re.compile(r"[a-z]{2,}")
+
+
+def _all_words(text: str) -> list[str]:
+    return (_ASCII_WORD if text.isascii() else _WORD).findall(text)
+
+
 def _words(text: str) -> int:
     """Words; scripts without blanks count two characters as one."""
     if text.isascii() or not _CJK.search(text):
-        return len(_WORD.findall(text))
+        return len(_all_words(text))
     cjk = len(_CJK.findall(text))
     return len(_WORD.findall(_CJK.sub(" ", text))) + (cjk + 1) // 2
 
 
-def _common(text: str) -> tuple[int, int]:
-    """(words, common words) of the best-fitting language; single letters, which any noise has, don't count."""
-    words = [w for w in _PART.findall(text.lower()) if len(w) > 1]
-    total, best = sum(map(_COUNTS.get, words, repeat(0))), 0
+def _counted(text: str) -> tuple[int, int]:
+    """(words, packed counts of common words of each language); single letters, which any noise has, don't count."""
+    words = _ASCII_PART.findall(text.lower()) if text.isascii() else [w for w in _PART.findall(text.lower()) if len(w) > 1]
+    return len(words), sum(map(_COUNTS.get, words, repeat(0)))
+
+
+def _best(total: int) -> int:
+    """The common words of the best-fitting language."""
+    best = 0
     while total:
         best, total = max(best, total & ((1 << _FIELD) - 1)), total >> _FIELD
-    return len(words), best
+    return best
 
 
-def statistics(text: str | None) -> dict[str, float]:
+def _common(text: str) -> tuple[int, int]:
+    """(words, common words) of the best-fitting language."""
+    n, total = _counted(text)
+    return n, _best(total)
+
+
+_LINES = re.compile(r"\r\n|\r|\n|\u2028|\u2029|\x85")
+_PARAGRAPHS = re.compile(r"(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)")
+_PARTS = re.compile(r"[.!?。！？]+(?:\s|$)|[。！？]|[\r\n]+")
+_RUN, _BASE, _MOD = 40, 1_000_003, (1 << 61) - 1
+OFTEN = 4
+"""So many times is what is said over and over; twice or three times is not."""
+
+
+class Measures:
+    """What is measured of a text, each thing when it is first asked for."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+
+    @cached_property
+    def lines(self) -> list[str]:
+        return _LINES.split(self.text)
+
+    @cached_property
+    def words(self) -> list[str]:
+        return _all_words(self.text)
+
+    @cached_property
+    def low(self) -> list[str]:
+        return _all_words(self.text.lower())
+
+    @cached_property
+    def word_counts(self) -> Counter[str]:
+        return Counter(self.low)
+
+    @cached_property
+    def word_chars(self) -> int:
+        return sum(map(len, self.low))
+
+    @cached_property
+    def sentences(self) -> Counter[str]:
+        """Sentences and lines, and how often each comes."""
+        return Counter(x for x in map(str.strip, _PARTS.split(self.text)) if x)
+
+    @cached_property
+    def paragraphs(self) -> list[str]:
+        return [p.strip() for p in _PARAGRAPHS.split(self.text) if p.strip()]
+
+    @cached_property
+    def full_lines(self) -> list[str]:
+        return [x.strip() for x in self.lines if x.strip()]
+
+    @staticmethod
+    def _duplicates(units: list[str]) -> float:
+        return 1 - len(set(units)) / len(units) if units else 0.0
+
+    @property
+    def dup_lines(self) -> float:
+        return self._duplicates(self.full_lines)
+
+    @property
+    def dup_paragraphs(self) -> float:
+        return self._duplicates(self.paragraphs)
+
+    def top_gram(self, n: int, least: int = 2) -> float:
+        """The share of the words' characters that the dominant n-gram covers, among those that come `least` times or more."""
+        grams = Counter(zip(*(self.low[i:] for i in range(n)), strict=False))
+        most = max((k * sum(map(len, g)) for g, k in grams.items() if k >= least), default=0)
+        return min(1.0, most / max(1, self.word_chars))
+
+    @cached_property
+    def again(self) -> float:
+        """The share of the words' characters in what comes at least OFTEN times; 0 up to a half.
+
+        That is paragraphs, sentences and lines of which each holds a twentieth of all or more, one n-gram, or runs of forty words. A long natural text of few
+        phrases has none of these: it says each of them now and then, and in any order. A line that comes with every paragraph counts as said once.
+        """
+        words, whole = self.low, self.word_chars
+        # what comes four times leaves few words: 1/2 + 1/2 / 4
+        if len(words) < 10 or sum(map(len, self.word_counts)) >= 0.625 * whole:
+            return 0.0
+        best = 0.0
+        for units, dup in ((Counter(self.paragraphs), self.dup_paragraphs), (Counter(self.full_lines), self.dup_lines), (self.sentences, 1.0)):
+            if dup > 0.4:  # else repeated ones are too few to cover half
+                said = [k * sum(map(len, _all_words(x))) for x, k in units.items() if k >= OFTEN]
+                best = max(best, sum(n for n in said if n >= 0.05 * whole) / whole)
+        # an n-gram that covers half has a word that covers a (2 n)-th
+        if max(len(w) * k for w, k in self.word_counts.items()) >= whole / 8:
+            best = max(best, *(self.top_gram(n, OFTEN) for n in (2, 3, 4)))
+        if best <= 0.5 and len(words) >= OFTEN * _RUN:
+            best = max(best, self._runs())
+        best = min(1.0, best)
+        return best if best > 0.5 else 0.0
+
+    def _runs(self) -> float:
+        """The share of the words' characters in runs of forty words that come OFTEN times, by a rolling hash, else each would hold forty words."""
+        words = self.low
+        number: dict[str, int] = {}
+        ids = [number.setdefault(w, len(number) + 1) for w in words]
+        grams = Counter(zip(ids, ids[1:], ids[2:], ids[3:], strict=False))
+        if sum(k for k in grams.values() if k >= OFTEN) < 0.3 * len(words):  # each of a run's grams comes as often as the run
+            return 0.0
+        runs, h, last = [], 0, pow(_BASE, _RUN, _MOD)
+        for i, x in enumerate(ids):
+            h = (h * _BASE + x - (ids[i - _RUN] * last if i >= _RUN else 0)) % _MOD
+            if i >= _RUN - 1:
+                runs.append(h)
+        often, covered, upto = Counter(runs), 0, 0
+        for i, run in enumerate(runs):
+            if often[run] >= OFTEN:
+                covered += sum(map(len, words[max(i, upto) : i + _RUN]))
+                upto = i + _RUN
+        return covered / self.word_chars
+
+
+def statistics(text: str | None, m: Measures | None = None) -> dict[str, float]:
     """The numbers of one text. Null, empty and blank texts have 0 everywhere but in n_chars."""
     text = text or ""
-    lines = [x.strip() for x in re.split(r"\r\n|\r|\n", text)]
-    full = [x for x in lines if x]
-    words = _WORD.findall(text)
+    m = m or Measures(text)
+    full, words = m.full_lines, m.words
     n, n_common = _common(text)
     chars = sum(not c.isspace() for c in text)
     symbols = sum(not (c.isalnum() or c.isspace()) for c in text)
-    paragraphs = [p for p in re.split(r"(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)", text) if p.strip()]
-    dup = lambda xs: 1 - len(set(xs)) / len(xs) if xs else 0.0
-    out = {
+    return {
         "n_chars": len(text),
         "n_words": _words(text),
         "mean_word_length": sum(map(len, words)) / len(words) if words else 0.0,
         "symbol_ratio": symbols / chars if chars else 0.0,
         "line_end_share": sum(bool(_SENTENCE_END.search(x)) for x in full) / len(full) if full else 0.0,
         "common_share": n_common / n if n else 0.0,
-        "dup_line_share": dup(full),
-        "dup_paragraph_share": dup([p.strip() for p in paragraphs]),
+        "dup_line_share": m.dup_lines,
+        "dup_paragraph_share": m.dup_paragraphs,
         "mark_share": sum(bool(_MARK.match(x)) for x in full) / len(full) if full else 0.0,
+        **{f"top_{k}gram_share": m.top_gram(k) for k in (2, 3, 4)},
     }
-    low = [w.lower() for w in words]
-    for k in (2, 3, 4):
-        grams = Counter(zip(*(low[i:] for i in range(k)), strict=False))
-        gram, times = max(grams.items(), key=lambda g: (g[1] * sum(map(len, g[0])), g[0]), default=((), 0))
-        out[f"top_{k}gram_share"] = min(1.0, times * sum(map(len, gram)) / max(1, sum(map(len, low)))) if times > 1 else 0.0
-    return out
 
 
 _TIGHT = [(sep, re.compile(re.escape(sep) + r"(?=\S)"), re.compile(re.escape(sep) + r"\s")) for sep in (";", ",", "~", "^", "¦")]
 _GAP, _BARS, _STOP, _STOPS = re.compile(r"[ \u00a0]{2,}"), re.compile(r"[|│┃]+"), re.compile(r"[.!?。！？]$"), re.compile(r"[.!?。！？]\s")
-_BLANKS, _PARTS = re.compile(r"\s+"), re.compile(r"[.!?。！？]+(?:\s|$)|[。！？]|[\r\n]+")
 _GRID = re.compile(r"[|+┼├┤│┬┴═]|-\s+-|=\s+=")
-_SEPARATORS = [re.compile(x) for x in (r"[,，、]\s*", r"[;；]\s*", r"\s*[|/·•]\s+", r"\s+[-–—]\s+")]
-_LINES = re.compile(r"\r\n|\r|\n|\u2028|\u2029|\x85")
+_SEPARATORS = [(chars, re.compile(x)) for chars, x in ((",，、", r"[,，、]\s*"), (";；", r"[;；]\s*"), ("|/·•", r"\s*[|/·•]\s+"), ("-–—", r"\s+[-–—]\s+"))]
 _PATH = re.compile(r"(?:https?|ftp)://|[\w.@~-]*(?:/[\w.@~{}:-]+)+$")
 
 
@@ -126,51 +249,9 @@ def _cells(line: str) -> tuple[str, int]:
     return ("  ", len(parts)) if len(parts) > 1 else ("", 1)
 
 
-def _dominant(units: list[str]) -> tuple[str, int]:
-    """The unit that covers most characters and how often it comes."""
-    return max(Counter(units).items(), key=lambda u: (u[1] * len(u[0]), u[0]))
-
-
-_RUN, _BASE, _MOD = 40, 1_000_003, (1 << 61) - 1
-
-
-def _again(lines: list[str]) -> float:
-    """The share of the words' characters in what comes at least four times; 0 up to a half.
-
-    That is sentences and lines of which each holds a twentieth of all or more, one n-gram, or runs of forty words. A long natural text of few
-    phrases has none of these: it says each of them now and then, and in any order.
-    """
-    words = _WORD.findall("\n".join(lines).lower())
-    whole = sum(map(len, words))
-    # what comes four times leaves few words: 1/2 + 1/2 / 4
-    if len(words) < 10 or sum(map(len, set(words))) >= 0.625 * whole:
-        return 0.0
-    parts = Counter(x for x in map(str.strip, _PARTS.split("\n".join(lines))) if x)
-    said = [k * sum(map(len, _WORD.findall(x))) for x, k in parts.items() if k >= 4]
-    best = sum(n for n in said if n >= 0.05 * whole)
-    for n in (2, 3, 4):
-        grams = Counter(zip(*(words[i:] for i in range(n)), strict=False))
-        best = max(best, max((k * sum(map(len, g)) for g, k in grams.items() if k >= 4), default=0))
-    # runs by a rolling hash, else each would hold forty words
-    number: dict[str, int] = {}
-    ids = [number.setdefault(w, len(number) + 1) for w in words]
-    runs, h, last = [], 0, pow(_BASE, _RUN, _MOD)
-    for i, x in enumerate(ids):
-        h = (h * _BASE + x - (ids[i - _RUN] * last if i >= _RUN else 0)) % _MOD
-        if i >= _RUN - 1:
-            runs.append(h)
-    often, covered, upto = Counter(runs), 0, 0
-    for i, run in enumerate(runs):
-        if often[run] >= 4:
-            covered += sum(map(len, words[max(i, upto) : i + _RUN]))
-            upto = i + _RUN
-    share = min(1.0, max(best, covered) / whole)
-    return share if share > 0.5 else 0.0
-
-
-def _repeated(text: str) -> bool:
+def _repeated(m: Measures) -> bool:
     """The same thing over and over: a few characters, one unit from end to end, or one sentence, line, word or pair of words that covers most of the text."""
-    s = _BLANKS.sub(" ", text.strip())
+    s = " ".join(m.text.split())
     n = len(s)
     if n < 40:
         return False
@@ -179,53 +260,68 @@ def _repeated(text: str) -> bool:
     period = s.find(s[: min(24, n // 3)], 1)
     if 0 < period <= n // 3 and s.startswith(s[period:]):
         return True
-    parts = [x for x in map(str.strip, _PARTS.split(text)) if x]
-    top, k = _dominant(parts)
-    if k >= 4 and k * len(top) > (0.5 if any(map(str.isalnum, top)) else 0.8) * sum(map(len, parts)):  # rules between the rows of a table are no text
+    parts = m.sentences
+    top = max(parts, key=lambda x: (parts[x] * len(x), x), default="")
+    if parts[top] >= OFTEN and parts[top] * len(top) > (0.5 if any(map(str.isalnum, top)) else 0.8) * sum(k * len(x) for x, k in parts.items()):  # rules between the rows of a table are no text
         return True
     words = s.lower().split(" ")
     if len(words) < 10:
         return False
-    whole = sum(map(len, words))
-    top, k = _dominant(words)
-    if k * len(top) > (0.7 if any(map(str.isalnum, top)) else 0.8) * whole:
+    whole, counts = n - len(words) + 1, Counter(words)
+    top = max(counts, key=lambda x: (counts[x] * len(x), x))
+    if counts[top] * len(top) > (0.7 if any(map(str.isalnum, top)) else 0.8) * whole:
         return True
+    if counts[top] * len(top) <= 0.3 * whole:  # a pair that covers so much has a word that covers the half of it
+        return False
     pair, k = Counter(zip(words, words[1:], strict=False)).most_common(1)[0]
     return k * sum(map(len, pair)) > 0.8 * whole
 
 
-def _noise(line: str) -> bool:
-    """A long line that is no language: encoded data, minified code, damaged or random characters, words without sentences."""
+_OTHER = re.compile(r"[^\p{L}]+")
+_NO_LETTERS = bytes(x for x in range(128) if not chr(x).isalpha())
+_LONG = plain_re.compile(r"\S{30,}")
+
+
+def _letters(s: str) -> int:
+    return len(s.encode().translate(None, _NO_LETTERS)) if s.isascii() else len(_OTHER.sub("", s))
+
+
+def _noise(line: str, k: int, common: int) -> bool:
+    """A long line that is no language: encoded data, minified code, damaged or random characters, words without sentences. k, common: its words, and those of them that are common."""
     s = line.strip()
     n = len(s)
-    cjk = 0 if s.isascii() else len(_CJK.findall(s))
-    bad = sum(map(len, _MOJIBAKE.findall(s)))
-    if bad and bad >= 0.04 * n:
-        return True
-    if cjk > 0.3 * n:
-        return False
-    letters = sum(map(str.isalpha, s))
-    longest = max(map(len, s.split()), default=0)
-    if _ENCODED.fullmatch(s) and min(len(_UPPER.findall(s)), len(_LOWER.findall(s)), 3 * len(_DIGIT.findall(s))) >= 5:
+    ascii_ = s.isascii()
+    if not (ascii_ and s.isprintable()):
+        bad = sum(map(len, _MOJIBAKE.findall(s)))
+        if bad and bad >= 0.04 * n:
+            return True
+        if not ascii_ and len(_CJK.findall(s)) > 0.3 * n:
+            return False
+    if n >= 40 and _ENCODED.fullmatch(s) and min(len(_UPPER.findall(s)), len(_LOWER.findall(s)), 3 * len(_DIGIT.findall(s))) >= 5:
         return True
-    if n >= 30 and longest > 0.6 * n and longest >= 30:
-        return not _PATH.match(max(s.split(), key=len)) or longest > 200
-    if n >= 20 and letters < 0.35 * n:
+    if n >= 30 and _LONG.search(s):
+        longest = max(s.split(), key=len)
+        if len(longest) > 0.6 * n and len(longest) >= 30:
+            return not _PATH.match(longest) or len(longest) > 200
+    if n >= 20 and _letters(s) < 0.35 * n:
         return True
-    k, common = _common(s)
-    if n >= 60 and (s.count(" ") < 0.05 * n and k < 4 or len(_CODE.findall(s)) > 0.15 * n):
+    if n >= 60 and (s.count(" ") < 0.05 * n and k < 4 or sum(map(s.count, "{}()[];=&|<>!$")) > 0.15 * n):
         return True
+    if common >= 0.25 * k and k:
+        return False
     long = [w for w in _PART.findall(s) if len(w) >= 5]
-    if len(long) >= 2 and sum(bool(_HARD.search(w)) for w in long) > 0.3 * len(long) and common < 0.25 * k:
+    hard = sum(bool(_HARD.search(w)) for w in long)
+    if len(long) >= 2 and hard > 0.3 * len(long) and common < 0.25 * k:
         return True
-    return k >= 9 and common < 0.08 * k or k >= 7 and not common and any(_HARD.search(w) for w in long)
+    return k >= 9 and common < 0.08 * k or k >= 7 and not common and hard > 0
 
 
 def _inline(par: str) -> bool:
     """Items one after another within a paragraph, cut by commas, semicolons, bars or the like."""
-    if sum(map(str.isalnum, par)) < 0.5 * len(par):
+    some = [sep for chars, sep in _SEPARATORS if sum(map(par.count, chars)) >= 4]  # five items at least
+    if not some or sum(map(str.isalnum, par)) < 0.5 * len(par):
         return False
-    for sep in _SEPARATORS:
+    for sep in some:
         parts = [p.strip() for p in sep.split(par.strip(" .。,，;；、"))]
         if len(parts) >= 5 and len(par) <= 60 * len(parts):
             sizes = [_words(p) for p in parts]
@@ -245,12 +341,13 @@ def _short(line: str) -> bool:
     return not _STOP.search(s) or w <= 4
 
 
-def line_kinds(text: str) -> list[tuple[str, int]]:
+def line_kinds(text: str, m: Measures | None = None) -> list[tuple[str, int]]:
     """(kind, characters) of each line that isn't blank; kinds are prose, code, list, table and junk."""
-    lines = _LINES.split(text)
+    lines = (m or Measures(text)).lines
     kinds: list[str] = [""] * len(lines)
     fence = False
-    for i, x in enumerate(lines):
+    fences = "```" in text or "~~~" in text
+    for i, x in enumerate(lines if fences else ()):
         if _FENCE.match(x) and not (len(set(x.strip())) == 1 and len(x.strip()) > 12):
             fence = not fence
             kinds[i] = "code"
@@ -266,10 +363,10 @@ def line_kinds(text: str) -> list[tuple[str, int]]:
         if _STAMP.match(x) or _TRACE.match(x):
             kinds[i] = "junk"
             continue
-        if _HTML_ROW.search(x) or _LATEX.search(x):
+        if "<" in x and _HTML_ROW.search(x) or "\\" in x and _LATEX.search(x):
             kinds[i] = "table"
             continue
-        if len(x.strip()) >= 5 and _RULE.match(x) and _GRID.search(x.strip()) and len(set(x.strip())) > 1:
+        if len(x.strip()) >= 5 and not x[0].isalnum() and _RULE.match(x) and _GRID.search(x.strip()) and len(set(x.strip())) > 1:
             kinds[i] = "table"
             continue
         sep, k = cells[i]
@@ -303,8 +400,9 @@ def line_kinds(text: str) -> list[tuple[str, int]]:
                 kinds[i] = "list"
         start = end + 1
     rest = [i for i in rest if not kinds[i]]
+    said = {i: _counted(lines[i]) for i in rest}
     for i in rest:
-        if _noise(lines[i]):
+        if _noise(lines[i], said[i][0], _best(said[i][1])):
             kinds[i] = "junk"
     rest = [i for i in rest if not kinds[i]]
     # runs of short lines
@@ -313,7 +411,7 @@ def line_kinds(text: str) -> list[tuple[str, int]]:
     def close() -> None:
         if len(run) >= 3:
             words = [_words(lines[i]) for i in run]
-            k, common = _common(" ".join(lines[i] for i in run))
+            k, common = sum(said[i][0] for i in run), _best(sum(said[i][1] for i in run))
             ends = sum(bool(_STOP.search(lines[i].strip())) for i in run)
             if sum(words) <= 5.2 * len(run) and ends <= 0.2 * len(run) and (common <= 0.38 * max(k, 1) or sum(words) <= 4.5 * len(run)):
                 for i in run:
@@ -331,25 +429,28 @@ def line_kinds(text: str) -> list[tuple[str, int]]:
     # lines of words without sentences, wrapped
     left = [i for i in rest if not kinds[i]]
     if left:
-        k, common = _common(" ".join(lines[i] for i in left))
+        k, common = sum(said[i][0] for i in left), _best(sum(said[i][1] for i in left))
         if k >= 12 and common < 0.08 * k and sum(len(_CJK.findall(lines[i])) for i in left) < k:
             for i in left:
                 kinds[i] = "junk"
     return [(kinds[i] if kinds[i] not in ("", "head") else "prose", len(lines[i].strip())) for i, x in enumerate(lines) if x.strip()]
 
 
-def form(text: str | None) -> str | None:
+def form(text: str | None, m: Measures | None = None) -> str | None:
     """'list', 'table' or 'junk' if that makes up more than half of the text's characters, else None (prose, code, empty, blank, null)."""
     if not text or not text.strip():
         return None
-    if _repeated(text):
+    m = m or Measures(text)
+    if _repeated(m):
         return "junk"
     share: Counter[str] = Counter()
-    kinds = line_kinds(text)
+    kinds = line_kinds(text, m)
     for kind, n in kinds:
         share[kind] += n
     if share["prose"]:
-        again = share["prose"] * _again([x for x, (kind, _) in zip(filter(str.strip, _LINES.split(text)), kinds, strict=True) if kind == "prose"])
+        total = sum(share.values())
+        prose = m if share["prose"] == total else Measures("\n".join(x for x, (kind, _) in zip(filter(str.strip, m.lines), kinds, strict=True) if kind == "prose"))
+        again = share["prose"] * prose.again
         share["prose"] -= again
         share["junk"] += again
     total = sum(share.values())
@@ -360,27 +461,29 @@ def form(text: str | None) -> str | None:
 STATS = ["n_chars", "n_words", "mean_word_length", "symbol_ratio", "line_end_share", "common_share", "dup_line_share", "dup_paragraph_share", "mark_share", "top_2gram_share", "top_3gram_share", "top_4gram_share"]
 
 
-def text_quality(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, the STATS, form) of each row; form is null for prose, code and texts without content. Other columns are not read."""
-    docs = docs.select(key, text)
+def _measured(docs: DataFrame, key: str, text: str, stats: bool) -> DataFrame:
+    """(key[, the STATS], form): one pass for both."""
     ints = STATS[:2]
+    cols = STATS if stats else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
-            got = [statistics(x) for x in texts]
-            cols = [pa.array([g[c] for g in got], pa.int64() if c in ints else pa.float64()) for c in STATS]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array([form(x) for x in texts], pa.string())], [key, *STATS, "form"])
+            got, forms = [], []
+            for x in b.column(1).to_pylist():
+                m = Measures(x or "")
+                if stats:
+                    got.append(statistics(x, m))
+                forms.append(form(x, m))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[c] for g in got], pa.int64() if c in ints else pa.float64()) for c in cols), pa.array(forms, pa.string())], [key, *cols, "form"])
 
-    return docs.mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, " + ", ".join(f"{c} {'bigint' if c in ints else 'double'}" for c in STATS) + ", form string")
+    return docs.select(key, text).mapInArrow(run, ", ".join([f"{key} {docs.schema[key].dataType.simpleString()}", *(f"{c} {'bigint' if c in ints else 'double'}" for c in cols), "form string"]))
 
 
-def odd_forms(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, form) of the documents that are mostly lists, tables or junk."""
-    docs = docs.select(key, text).where(f"length({text}) > 0")
+def text_quality(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, the STATS, form) of each row; form is null for prose, code and texts without content. Other columns are not read."""
+    return _measured(docs, key, text, True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([form(x) for x in b.column(1).to_pylist()], pa.string())], [key, "form"])
 
-    return docs.mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, form string").where("form IS NOT NULL")
+def odd_forms(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, form) of the documents that are mostly lists, tables or junk: the same pass, which takes only the measurements that the form asks for."""
+    return _measured(docs.where(f"length({text}) > 0"), key, text, False).where("form IS NOT NULL")
