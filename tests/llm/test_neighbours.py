@@ -107,3 +107,44 @@ def test_score_aware_loss():
 
 def test_codebook_shape():
     assert nb.DIM % nb.PARTS == 0 and pytest.approx(2.625) == nb.ETA
+
+
+@pytest.mark.parametrize("per,noise,least", [(12, 0.4, -2.0), (43, 0.05, 0.85), (100, 0.25, 0.85), (300, 0.4, -2.0), (300, 0.05, 0.85), (1000, 0.05, 0.85), (1000, 0.25, -2.0)])
+def test_recall_within_clusters_of_any_size(spark, monkeypatch, per, noise, least):
+    """The codes pick who is scored exactly; no number of like vectors is too many. 64 vectors a list, so that clusters fill several."""
+    monkeypatch.setattr(nb, "LIST", 64)
+    rng = np.random.default_rng(per)
+    centres = rng.normal(size=(3000 // per + 1, 64))
+    x = (centres[np.arange(3000) // per] + noise * rng.normal(size=(3000, 64))).astype(np.float32)
+    got = {}
+    for r in nb.neighbours(frame(spark, [(f"v{i:05}", v) for i, v in enumerate(x)]), least=least).collect():
+        got.setdefault(int(r.id[1:]), set()).add(int(r.other[1:]))
+    u = x.astype(np.float64) / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    want = [(i, j) for i in range(3000) for j in np.argsort(-s[i])[:5] if s[i, j] >= least]
+    assert len(want) > 10_000 and sum(j in got.get(i, ()) for i, j in want) > 0.98 * len(want)
+
+
+def test_exact_is_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(nb, "LIST", 64)
+    v = clusters(900, 8)
+    got = {}
+    for r in nb.neighbours(frame(spark, v.items()), exact=True).collect():
+        got.setdefault(r.id, set()).add(r.other)
+    assert np.mean([len(got[i] & set(x)) / 5 for i, x in brute(v, 5).items()]) > 0.999
+
+
+def test_long_lists_and_blocks_of_lists(spark, monkeypatch):
+    """Lists beyond the most are cut where they are scanned; a list beyond a block takes several."""
+    monkeypatch.setattr(nb, "LIST", 32)
+    monkeypatch.setattr(nb, "MOST_LISTS", 4)
+    monkeypatch.setattr(nb, "BLOCK", 500)
+    v = clusters(2400, 9)
+    got = {}
+    for r in nb.neighbours(frame(spark, v.items()), least=0.85).collect():
+        got.setdefault(r.id, set()).add(r.other)
+    want = brute(v, 5)
+    x = {i: np.asarray(y) / np.linalg.norm(y) for i, y in v.items()}
+    near = {(i, j) for i, js in want.items() for j in js if x[i] @ x[j] >= 0.85}
+    assert sum(j in got.get(i, ()) for i, j in near) > 0.97 * len(near)

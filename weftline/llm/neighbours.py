@@ -1,15 +1,15 @@
 """Problem 6: the most similar vectors for every vector.
 
-Score-aware quantisation for maximum inner product: vectors of length one are cut into a coarse centroid and a residual, whose
-16 parts of 4 numbers are coded with 4 bits each. Centres and codes minimise a loss that weighs the error along the vector
-(which changes its score against its neighbours) `ETA` times as much as the error across it. A query reads tables of 16 scores per
-part, added over the codes of the lists it probes; the best of each list are scored again with their exact vectors. Where the error of
-the codes leaves room for more than those among the k best, the whole list is scored exactly, so that no vector of a probed list is lost.
-Lists that lie close together form an area, and a query travels once to each area that it probes, not once to each list.
-
-The codebooks are fitted on the driver to a bounded sample (`SAMPLE` vectors); everything else runs over all vectors.
-Exact copies are collapsed before the search and expanded after it, so that a vector under many ids costs one entry. Areas are cut into
-blocks of bounded size, and so are the queries that meet them: no task holds more than about BLOCK vectors and QUERIES queries.
+Score-aware quantisation for maximum inner product: vectors of length one are cut into a coarse centroid and a residual, whose direction is
+coded in 16 parts of 4 numbers with 4 bits each. Centres and codes minimise a loss that weighs the error along the vector
+(which changes its score against its neighbours) `ETA` times as much as the error across it. A query scans the codes of the lists it probes: the sum of its 16 table
+entries is its product with the decoded vector, which, divided by the vector's own, estimates the score without bias; how far estimates are off follows from the angle
+between a vector and its code. Whoever may still be among the k best by `SIGMAS` of that error is scored again with its exact vector, however many that are: there is no cap on candidates.
+
+Lists are in proportion to the vectors, up to MOST_LISTS; longer lists are cut once more where they are scanned, by centres fitted there. Lists that lie close
+together share a block, and a query travels once to each block that holds a list it probes. Blocks are cut by lists, not by hash, and have a bounded size, as have the queries that meet
+them: no task holds more than about BLOCK vectors and QUERIES queries. The codebooks are fitted on the driver to a bounded sample (`SAMPLE` vectors, or 16 a list);
+everything else runs over all vectors. Exact copies are collapsed before the search and expanded after it, so that a vector under many ids costs one entry.
 """
 
 from __future__ import annotations
@@ -33,18 +33,19 @@ ETA = 2.625
 SAMPLE = 32_768
 LIST = 512
 """Vectors per list, on average, up to MOST_LISTS lists."""
-MOST_LISTS = 4_096
+MOST_LISTS = 16_384
 AREA = 16
-"""Lists per area, on average."""
-BLOCK, QUERIES = 32_768, 65_536
-PROBES, NEAR_PROBES, RERANK = 16, 8, 64
-"""Lists that a query probes: for its nearest at any distance, and for those of a cosine of at least 0.85, which lie in fewer lists."""
-FEW_LISTS = 64
-"""Up to so many lists the numbers of probes hold; beyond, they grow with the square root of the number of lists."""
+"""Lists per block, at most."""
+BLOCK, QUERIES = 65_536, 65_536
+PROBES, FEW_LISTS, SUB_PROBES = 16, 64, 8
+"""Lists that a query probes by rank. Up to FEW_LISTS lists the number holds; beyond, it grows with the fourth root of the number of lists. SUB_PROBES: of the parts of a long list."""
 DENSE = 0.85
 """A query also probes every list whose centre is so near: if all of a list are at least so near to a query, then so is their mean."""
+SIGMAS = 4.0
+"""Standard deviations of an estimate's error by which a vector may still be among the k best."""
 SLACK = 1e-5
 """More than the error of a score in single precision."""
+_CELLS = 1 << 22
 
 
 @dataclass
@@ -89,16 +90,29 @@ def _means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int) -> np.n
     return centres
 
 
+def _tree_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int) -> np.ndarray:
+    """k centres; many of them in two steps, so that no vector is compared with all."""
+    if k <= 1024:
+        return _means(x, k, rng, rounds)
+    top = _means(x, int(k**0.5), rng, rounds)
+    own = _nearest(x, top, 1)[:, 0]
+    size = np.bincount(own, minlength=len(top))
+    parts = np.maximum(1, np.floor(k * size / len(x)).astype(int)) * (size > 0)
+    return np.concatenate([_means(x[own == i], int(parts[i]), rng, rounds) for i in np.flatnonzero(size)])
+
+
 def fit(sample: np.ndarray, lists: int, seed: int = 0, rounds: int = 8) -> Codebook:
-    """Codebooks from a sample of unit vectors: spherical k-means, then score-aware centres of each part."""
+    """Codebooks from a sample of unit vectors: spherical k-means, then score-aware centres of each part of the residuals' directions."""
     rng = np.random.default_rng(seed)
-    coarse = _means(sample, lists, rng, rounds)
-    r = sample - coarse[_nearest(sample, coarse, 1)[:, 0]]
+    coarse = _tree_means(sample, lists, rng, rounds)
+    few = sample if len(sample) <= SAMPLE else sample[rng.choice(len(sample), SAMPLE, replace=False)]
+    r = few - coarse[_nearest(few, coarse, 1)[:, 0]]
+    r = r / np.maximum(np.linalg.norm(r, axis=1, keepdims=True), 1e-12)
     w = DIM // PARTS
-    xs, rs = sample.reshape(-1, PARTS, w), r.reshape(-1, PARTS, w)
-    fine = np.stack([rs[rng.choice(len(sample), CENTRES, replace=len(sample) < CENTRES), m] for m in range(PARTS)]).astype(np.float32)
+    xs, rs = few.reshape(-1, PARTS, w), r.reshape(-1, PARTS, w)
+    fine = np.stack([rs[rng.choice(len(few), CENTRES, replace=len(few) < CENTRES), m] for m in range(PARTS)]).astype(np.float32)
     for k in range(rounds):
-        codes = _codes(sample, r, fine, sweeps=0 if k < rounds // 2 else 1)
+        codes = _codes(few, r, fine, sweeps=0 if k < rounds // 2 else 1)
         along = np.stack([((rs[:, m] - fine[m][codes[:, m]]) * xs[:, m]).sum(1) for m in range(PARTS)], 1)
         total = along.sum(1)
         for m in range(PARTS):
@@ -152,95 +166,108 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
 
 
 def _coded(rows: DataFrame, book: Codebook, n_probes: int) -> DataFrame:
-    """(id, vec, area, list, codes, asks): asks are the areas that the vector, as a query, probes, with the lists in each."""
+    """(id, vec, list, codes, probes): probes are the lists that the vector, as a query, probes, the nearest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _matrix(b.column(1), DIM, np.float32)
             probes = _nearest(x, book.coarse, n_probes)
-            codes = _codes(x, x - book.coarse[probes[:, 0]], book.fine)
+            r = x - book.coarse[probes[:, 0]]
+            codes = _codes(x, r / np.maximum(np.linalg.norm(r, axis=1, keepdims=True), 1e-12), book.fine)
             packed = (codes[:, 0::2] << 4) | codes[:, 1::2]
-            where = book.area[probes]
             every = list(probes)
-            for s in range(0, len(x), 4096):
-                dense = x[s : s + 4096] @ book.coarse.T >= DENSE
+            for s in range(0, len(x), 1024):
+                dense = x[s : s + 1024] @ book.coarse.T >= DENSE
+                dense[np.arange(len(dense))[:, None], probes[s : s + 1024]] = False
                 for i in np.flatnonzero(dense.any(1)).tolist():
-                    every[s + i] = np.union1d(probes[s + i], np.flatnonzero(dense[i]))
-            asks = [[{"area": a, "lists": p[w == a].tolist()} for a in np.unique(w).tolist()] for p, w in ((p, book.area[p]) for p in every)]
-            kind = pa.list_(pa.struct([("area", pa.int32()), ("lists", pa.list_(pa.int32()))]))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(where[:, 0]), pa.array(probes[:, 0]), pa.array([c.tobytes() for c in packed], pa.binary()), pa.array(asks, kind)], ["id", "vec", "area", "list", "codes", "asks"]
-            )
+                    every[s + i] = np.concatenate([probes[s + i], np.flatnonzero(dense[i])])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(probes[:, 0]), pa.array([c.tobytes() for c in packed], pa.binary()), pa.array(every, pa.list_(pa.int32()))], ["id", "vec", "list", "codes", "probes"])
 
-    return rows.mapInArrow(run, "id string, vec binary, area int, list int, codes binary, asks array<struct<area:int,lists:array<int>>>")
+    return rows.mapInArrow(run, "id string, vec binary, list int, codes binary, probes array<int>")
 
 
-def _errors(d: np.ndarray, centre: np.ndarray, codes: np.ndarray, fine: np.ndarray) -> np.ndarray:
-    """How far each vector of a list is from what its codes say."""
-    said = [fine[m][(codes[m // 2] >> 4) if m % 2 == 0 else (codes[m // 2] & 15)] for m in range(PARTS)]
-    return np.linalg.norm(d - centre - np.concatenate(said, 1), axis=1)
+def _blocks(held: dict[int, int], book: Codebook) -> tuple[np.ndarray, np.ndarray]:
+    """(first block, blocks) of each list: up to AREA lists of one area that hold up to BLOCK vectors share a block; a longer list has blocks of its own."""
+    first, many = np.zeros(len(book.coarse), np.int32), np.ones(len(book.coarse), np.int32)
+    block, size, count, area = -1, 0, 0, -1
+    for x in np.lexsort((np.arange(len(first)), book.area)).tolist():
+        n = held.get(x, 0)
+        if block < 0 or area != book.area[x] or count >= AREA or size + n > BLOCK:
+            block, size, count, area = block + 1, 0, 0, book.area[x]
+        first[x], size, count = block, size + n, count + 1
+        if n > BLOCK:
+            many[x] = -(-n // BLOCK)
+            block += int(many[x]) - 1
+    return first, many
 
 
-def _best(score: np.ndarray, top: np.ndarray | None, q: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places in d, scores) of the k best of each row. Scores in single precision pick those that may be, double precision orders them.
+def _routed(coded: DataFrame, first: np.ndarray, many: np.ndarray) -> DataFrame:
+    """(id, vec, block, lists): each query once for every block that holds lists it probes, with those."""
 
-    top: the places of the columns, rising in each row; None if they are those of d. A score of -inf stays.
-    """
-    width = score.shape[1]
-    if width > k + 4:
-        kth = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
-        width = max(k + 4, int((score >= kth - 2 * SLACK).sum(1).max()))
-    if width < score.shape[1] and width <= 4 * RERANK:
-        few = np.argpartition(-score, width - 1, axis=1)[:, :width]
-        few.sort(axis=1)
-        top, score = few if top is None else np.take_along_axis(top, few, 1), np.take_along_axis(score, few, 1)
-    if top is None:
-        exact = q.astype(np.float64) @ d.astype(np.float64).T
-        top = np.broadcast_to(np.arange(len(d)), exact.shape)
-    else:
-        exact = np.matmul(d[top].astype(np.float64), q[:, :, None].astype(np.float64))[:, :, 0]
-    exact[np.isneginf(score)] = -np.inf
-    best = np.argsort(-exact, axis=1, kind="stable")[:, :k]
-    return np.take_along_axis(top, best, 1), np.take_along_axis(exact, best, 1)
-
-
-def _scan(q: np.ndarray, qid: np.ndarray, d: np.ndarray, did: np.ndarray, codes: np.ndarray, error: np.ndarray, centre: np.ndarray, book: Codebook, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(places in d, scores) of the k best of one list for each query; the query itself scores -inf. did is sorted, so ties go to the smaller id.
-
-    Of those below `least` some may be missing. error and centre: see _errors.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            probes = b.column(2)
+            row = np.repeat(np.arange(b.num_rows), np.diff(probes.offsets.to_numpy()))
+            x = probes.flatten().to_numpy()
+            times = many[x]
+            row, x, step = np.repeat(row, times), np.repeat(x, times), np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            block = first[x] + step
+            order = np.lexsort((np.arange(len(x)), block, row))  # the order of the probes stays within a block
+            row, x, block = row[order], x[order], block[order]
+            heads = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (block[1:] != block[:-1])))) if len(row) else np.empty(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(x)).astype(np.int32)), pa.array(x.astype(np.int32)))
+            who = pa.array(row[heads])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(who), b.column(1).take(who), pa.array(block[heads].astype(np.int32)), lists], ["id", "vec", "block", "lists"])
+
+    return coded.select("id", "vec", "probes").mapInArrow(run, "id string, vec binary, block int, lists array<int>")
+
+
+def _decoded(d: np.ndarray, centre: np.ndarray, codes: np.ndarray, fine: np.ndarray) -> np.ndarray:
+    """What a query is multiplied with to scan a list: the decoded vectors over their product with the exact ones, and the error of such an estimate in standard deviations of 1 / sqrt(DIM - 1)."""
+    said = np.concatenate([fine[m][(codes[m // 2] >> 4) if m % 2 == 0 else (codes[m // 2] & 15)] for m in range(PARTS)], 1)
+    r = d - centre
+    said = centre + np.linalg.norm(r, axis=1, keepdims=True) * said
+    own = (said * d).sum(1)
+    tan = np.sqrt(np.maximum((said**2).sum(1) / np.maximum(own, 1e-3) ** 2 - 1, 0))
+    off = np.where(own > 0.05, SIGMAS / (DIM - 1) ** 0.5 * tan + SLACK, 9.0)
+    return np.concatenate([said / np.maximum(own, 0.05)[:, None], off[:, None]], 1).astype(np.float32)
+
+
+def _candidates(q: np.ndarray, qid: np.ndarray, least: np.ndarray, d: np.ndarray, did: np.ndarray, scan: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, place in d, exact score) of all of d that may be among the k best of a query, given that k of score `least` or more are known. did is sorted.
+
+    s >= least needs an estimate of at least least - off * sqrt(1 - least^2), as the error of an estimate shrinks towards score 1.
     """
-
-    def whole(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        score = q[w] @ d.T
-        at = np.minimum(np.searchsorted(did, qid[w]), len(did) - 1)
-        own = did[at] == qid[w]
+    some = np.ones((len(q), len(d)), bool)
+    if scan is not None:
+        c = np.where(least > 0, np.sqrt(np.maximum(1 - np.minimum(least, 1) ** 2, 0)), 1.0)
+        some = np.concatenate([q, c[:, None].astype(np.float32)], 1) @ scan.T >= (least - SLACK)[:, None].astype(np.float32)
+    if some.mean() > 0.05:  # too many for one by one: single precision tells who can't be
+        score = q @ d.T
+        at = np.minimum(np.searchsorted(did, qid), len(did) - 1)
+        own = did[at] == qid
         score[own, at[own]] = -np.inf
-        return _best(score, None, q[w], d, k)
-
-    most = max(RERANK, k + 4)
-    if len(d) <= most + 1:
-        return whole(np.arange(len(q)))
-    table = np.einsum("qmw,mcw->qmc", q.reshape(-1, PARTS, DIM // PARTS), book.fine)
-    pairs = (table[:, 0::2, :, None] + table[:, 1::2, None, :]).reshape(len(q), PARTS // 2, 256)  # two codes per byte
-    score = pairs[:, 0][:, codes[0]]
-    for m in range(1, PARTS // 2):
-        score += pairs[:, m][:, codes[m]]
-    top = np.argpartition(-score, most, axis=1)[:, : most + 1]
-    top.sort(axis=1)
-    exact = np.matmul(d[top], q[:, :, None])[:, :, 0]
-    exact[did[top] == qid[:, None]] = -np.inf
-    place, value = _best(exact, top, q, d, k)
-    # q.d is at most the score of d's codes and their error: who else might reach the k-th?
-    score += error
-    np.put_along_axis(score, top, -np.inf, 1)
-    open_ = np.flatnonzero(score.max(1) + q @ centre >= np.maximum(value[:, k - 1], least) - SLACK)
-    if len(open_):
-        place[open_], value[open_] = whole(open_)
-    return place, value
-
-
-def _search(book: Codebook, k: int, least: float):
-    """Queries and vectors of one (area, block, query block): the k best of the block for each query, exactly scored."""
+        low = least - SLACK
+        if len(d) > k:
+            low = np.maximum(low, np.partition(score, len(d) - k, axis=1)[:, len(d) - k] - 2 * SLACK)
+        some &= score >= low[:, None]
+    row, col = np.nonzero(some)
+    keep_ = did[col] != qid[row]
+    row, col = row[keep_], col[keep_]
+    exact = np.empty(len(row))
+    for s in range(0, len(row), 1 << 16):
+        exact[s : s + (1 << 16)] = np.einsum("ij,ij->i", q[row[s : s + (1 << 16)]].astype(np.float64), d[col[s : s + (1 << 16)]].astype(np.float64))
+    return row, col, exact
+
+
+def _search(book: Codebook, k: int, least: float, exact: bool):
+    """Queries and vectors of one (block, query block): the k best of the block for each query, exactly scored."""
+
+    def best(a: np.ndarray, b: np.ndarray, c: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((rank[b], -c, a))
+        a, b, c = a[order], b[order], c[order]
+        few = np.arange(len(a)) - np.searchsorted(a, a) < k
+        return a[few], b[few], c[few]
 
     def run(t: pa.Table) -> pa.Table:
         is_query = t.column("query").to_numpy(zero_copy_only=False).astype(bool)
@@ -249,48 +276,73 @@ def _search(book: Codebook, k: int, least: float):
         lists = t.column("lists").to_pylist()
         qid, q = ids[is_query], vecs[is_query]
         did, d = ids[~is_query], vecs[~is_query]
-        out = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]  # query, vector, score
+        got = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)  # query, vector, score
         if len(did) and len(qid):
             codes = _matrix(t.filter(pa.array(~is_query)).column("codes"), PARTS // 2, np.uint8)
-            asked: dict[int, list[int]] = {}
+            # the nearest list of each query first: what is found there rules out most of the others
+            asked: tuple[dict[int, list[int]], dict[int, list[int]]] = ({}, {})
             for i, ls in enumerate(x for x, y in zip(lists, is_query, strict=True) if y):
-                for x in ls:
-                    asked.setdefault(x, []).append(i)
+                for j, x in enumerate(ls):
+                    asked[j > 0].setdefault(x, []).append(i)
             own = np.fromiter((x[0] for x, y in zip(lists, is_query, strict=True) if not y), np.int64, len(did))
             order = np.lexsort((did, own))
-            starts = np.searchsorted(own[order], [*asked, *(x + 1 for x in asked)])
-            for (x, who), lo, hi in zip(asked.items(), starts[: len(asked)], starts[len(asked) :], strict=True):
-                at = order[lo:hi]
-                if not len(at):
-                    continue
-                part, centre, d_at, did_at = codes[at].T.copy(), book.coarse[x], d[at], did[at]
-                error = _errors(d_at, centre, part, book.fine)
-                step = max(16, min(512, (1 << 22) // len(at)))
-                for s in range(0, len(who), step):
-                    w = np.array(who[s : s + step])
-                    place, value = _scan(q[w], qid[w], d_at, did_at, part, error, centre, book, k, least)
-                    row, col = np.nonzero(value >= least)
-                    out[0].append(w[row])
-                    out[1].append(at[place[row, col]])
-                    out[2].append(value[row, col])
-        a, b, c = (np.concatenate(x) for x in out)
-        if len(a):  # the k best of all lists of the block
             rank = np.argsort(np.argsort(did, kind="stable"), kind="stable")
-            order = np.lexsort((rank[b], -c, a))
-            a, b, c = a[order], b[order], c[order]
-            first = np.searchsorted(a, a)
-            keep_ = np.arange(len(a)) - first < k
-            a, b, c = a[keep_], b[keep_], c[keep_]
+            found, parts = np.full(len(q), least), {}
+            for turn in asked:
+                out = [got]
+                for x, who in turn.items():
+                    if x not in parts:
+                        parts[x] = [*_pieces(x, order[slice(*np.searchsorted(own[order], [x, x + 1]))], d, did, codes, book, exact)]
+                    for at, scan, centre in parts[x]:
+                        mine = np.array(who)
+                        if centre is not None:  # one of the pieces of a long list
+                            mine = mine[centre[0](q[mine])]
+                        step = max(16, min(4096, _CELLS // max(1, len(at))))
+                        for s in range(0, len(mine), step):
+                            w = mine[s : s + step]
+                            row, col, score = _candidates(q[w], qid[w], found[w], d[at], did[at], scan, k)
+                            hit = score >= least
+                            out.append((w[row[hit]], at[col[hit]], score[hit]))
+                got = best(*(np.concatenate(c) for c in zip(*out, strict=True)), rank)
+                full = np.flatnonzero(np.bincount(got[0], minlength=len(q)) >= k)
+                last = np.searchsorted(got[0], full, side="right") - 1
+                found[full] = np.maximum(found[full], got[2][last])
+        a, b, c = got
         return pa.table({"id": pa.array(qid[a], pa.string()), "other": pa.array(did[b], pa.string()), "score": pa.array(c, pa.float64())})
 
     return run
 
 
-def neighbours(vectors: DataFrame, k: int = 5, least: float = -2.0, probes: int = PROBES) -> DataFrame:
+def _pieces(x: int, at: np.ndarray, d: np.ndarray, did: np.ndarray, codes: np.ndarray, book: Codebook, exact: bool) -> Iterator[tuple]:
+    """(places in d, scan, None or who asks for it) of a list: one piece, or, of a long list, pieces of about LIST vectors around centres fitted here."""
+    if not len(at):
+        return
+    scan = None if exact or len(at) < 32 else _decoded(d[at], book.coarse[x], codes[at].T.copy(), book.fine)
+    if exact or len(at) <= 4 * LIST:
+        yield at, scan, None
+        return
+    rng = np.random.default_rng(x)
+    some = d[at] if len(at) <= SAMPLE else d[at[rng.choice(len(at), SAMPLE, replace=False)]]
+    centres = _means(some, len(at) // LIST, rng, 4)
+    own = _nearest(d[at], centres, 1)[:, 0]
+
+    def asks(j: int):
+        def which(q: np.ndarray) -> np.ndarray:
+            s = q @ centres.T
+            kth = np.partition(s, max(0, len(centres) - SUB_PROBES), axis=1)[:, max(0, len(centres) - SUB_PROBES)]
+            return (s[:, j] >= kth) | (s[:, j] >= DENSE)
+
+        return which
+
+    for j in np.unique(own).tolist():
+        yield at[own == j], scan[own == j], (asks(j),)
+
+
+def neighbours(vectors: DataFrame, k: int = 5, least: float = -2.0, probes: int = PROBES, exact: bool = False) -> DataFrame:
     """(id, other, score): the k other ids of highest cosine for each id, those of at least `least`; ties go to the smaller id.
 
-    The search is approximate in which lists a query probes (see the README for measured recall), exact within them. Fewer than k + 1 vectors give fewer rows,
-    an empty table none. With a `least`, nothing below it is moved at all.
+    The search is approximate in which lists a query probes and in the few vectors whose estimate is off by more than SIGMAS (see the README for measured recall). exact: every list, scored in
+    whole. Fewer than k + 1 vectors give fewer rows, an empty table none. With a `least`, nothing below it is moved at all.
     """
     units = keep(unit_vectors(vectors), "units")
     spark = units.sparkSession
@@ -300,20 +352,24 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = -2.0, probes: int
     if not n:
         return spark.createDataFrame([], "id string, other string, score double")
     # the hash decides who is in the sample, so a rerun finds the same codebooks
-    share = min(1.0, 1.05 * SAMPLE / n)
-    sample = classes.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("vec").limit(SAMPLE).toArrow()
-    book = fit(_matrix(sample.column("vec"), DIM, np.float32).copy() if sample.num_rows else np.eye(1, DIM, dtype=np.float32), min(MOST_LISTS, max(1, round(n / LIST))))
-    probes = max(probes, round(probes * (len(book.coarse) / FEW_LISTS) ** 0.5))
+    lists = min(MOST_LISTS, max(1, round(n / LIST)))
+    size = max(SAMPLE, 16 * lists)
+    share = min(1.0, 1.05 * size / n)
+    sample = classes.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("vec").limit(size).toArrow()
+    book = fit(_matrix(sample.column("vec"), DIM, np.float32).copy() if sample.num_rows else np.eye(1, DIM, dtype=np.float32), lists)
+    probes = len(book.coarse) if exact else max(probes, round(probes * (len(book.coarse) / FEW_LISTS) ** 0.25))
     coded = keep(_coded(classes.select(F.col("rep").alias("id"), "vec"), book, probes), "coded")
-    # areas and their queries in blocks of bounded size; there are at most MOST_LISTS rows of sizes
-    held = {r.area: r.n for r in coded.groupBy("area").agg(F.count(F.lit(1)).alias("n")).collect()}
-    ask = coded.select("id", "vec", F.explode("asks").alias("ask")).select("id", "vec", "ask.area", "ask.lists")
-    asked = {r.area: r.n for r in coded.select(F.explode("asks.area").alias("area")).groupBy("area").agg(F.count(F.lit(1)).alias("n")).collect()}
-    cuts = F.broadcast(spark.createDataFrame([(x, 1 + m // BLOCK, 1 + asked.get(x, 0) // QUERIES) for x, m in held.items()], "area int, blocks int, qblocks int"))
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    data = coded.join(cuts, "area").select("area", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), every("qblocks").alias("qblock"), F.lit(False).alias("query"), "id", "vec", "codes", F.array("list").alias("lists"))
-    asks = ask.join(cuts, "area").select("area", every("blocks").alias("block"), F.pmod(F.xxhash64("id"), F.col("qblocks")).cast("int").alias("qblock"), F.lit(True).alias("query"), "id", "vec", F.lit(None).cast("binary").alias("codes"), "lists")
-    near = data.unionByName(asks).groupBy("area", "block", "qblock").applyInArrow(_search(book, k, least), "id string, other string, score double")
+    # there are at most MOST_LISTS rows of sizes
+    held = {r.list: r.n for r in coded.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
+    first, many = _blocks(held, book)
+    asks = keep(_routed(coded, first, many), "asks")
+    asked = {r.block: r.n for r in asks.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}
+    where = F.broadcast(spark.createDataFrame([(x, int(first[x]), int(many[x])) for x in range(len(first))], "list int, first int, many int"))
+    cuts = F.broadcast(spark.createDataFrame([(b, 1 + m // QUERIES) for b, m in asked.items()], "block int, qblocks int"))
+    data = coded.join(where, "list").withColumn("block", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("many"))).cast("int")).join(cuts, "block")
+    data = data.select("block", F.explode(F.sequence(F.lit(0), F.col("qblocks") - 1)).alias("qblock"), F.lit(False).alias("query"), "id", "vec", "codes", F.array("list").alias("lists"))
+    asks = asks.join(cuts, "block").select("block", F.pmod(F.xxhash64("id"), F.col("qblocks")).cast("int").alias("qblock"), F.lit(True).alias("query"), "id", "vec", F.lit(None).cast("binary").alias("codes"), "lists")
+    near = data.unionByName(asks).groupBy("block", "qblock").applyInArrow(_search(book, k, least, exact), "id string, other string, score double")
     best = W.partitionBy("id").orderBy(F.desc("score"), "other")
     near = keep(near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r"), "near")  # between classes
     if not classes.where("copies > 1").take(1):
@@ -340,5 +396,5 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = -2.0, probes: int
 
 def similar_pairs(vectors: DataFrame, k: int = 5, least: float = 0.85) -> DataFrame:
     """(id_a, id_b), id_a < id_b: pairs of which one is among the other's k nearest, with a cosine of at least `least`."""
-    near = neighbours(vectors, k, least, NEAR_PROBES if least >= 0.85 else PROBES)
+    near = neighbours(vectors, k, least)
     return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
