@@ -69,6 +69,11 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]", "-"), "^-+|-+$", "")
 
 
+def cache_key(path: Column) -> Column:
+    """The name of a path's folder in a cache: the first 12 hexadecimal digits of its SHA-256."""
+    return F.substring(F.sha2(path, 256), 1, 12)
+
+
 def json_action(text: Column, ddl: str) -> Column:
     """The JSON object from the first brace to the last, read by a schema; null if there is none."""
     return F.from_json(F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit("")), ddl)

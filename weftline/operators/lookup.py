@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.graph import Graph
+from weftline.operators.hotkeys import salted
+from weftline.sources.scratch import keep
 from weftline.schema import CALLABLE, EXTERNAL_EDGES
 
 
@@ -87,8 +89,11 @@ def missing_ids(g: Graph, asked: DataFrame) -> DataFrame:
 def dangling(g: Graph) -> DataFrame:
     """(repo, ord, src, dst, kind): edges with an end outside the graph, but for kinds that may end there. Calls of external functions count."""
     e = g.edges.where(~F.col("kind").isin(*EXTERNAL_EDGES))
-    a, b = (g.nodes.select("repo", F.col("id").alias(c), F.lit(True).alias(f"has_{c}")) for c in ("src", "dst"))
-    return e.join(a, ["repo", "src"], "left").join(b, ["repo", "dst"], "left").where("has_src IS NULL OR has_dst IS NULL").select("repo", "ord", "src", "dst", "kind")
+    for end in ("src", "dst"):
+        known = g.nodes.select("repo", F.col("id").alias(end), F.lit(True).alias(f"has_{end}"))
+        x, y = salted(e, known, ["repo", end], F.col("ord"))
+        e = x.join(y, ["repo", end, "salt"], "left").drop("salt")
+    return e.where("has_src IS NULL OR has_dst IS NULL").select("repo", "ord", "src", "dst", "kind")
 
 
 _PATTERN = re.compile(r"^\s*\(\s*\w*\s*(?::\s*(\w+))?\s*\)\s*-\s*\[\s*\w*\s*(?::\s*(\w+))?\s*\]\s*->\s*\(\s*\w*\s*(?::\s*(\w+))?\s*\)\s*$")
@@ -97,7 +102,7 @@ _PATTERN = re.compile(r"^\s*\(\s*\w*\s*(?::\s*(\w+))?\s*\)\s*-\s*\[\s*\w*\s*(?::
 def pattern(g: Graph, text: str, limit: int | None = 100) -> DataFrame:
     """(repo, ord, src, dst, kind): edges that fit (a:kind)-[:KIND]->(b:kind), first by ord. Node kinds are case-sensitive, edge kinds not; each may be left out.
 
-    Nodes are joined only where their kind is asked for.
+    Nodes are joined only where their kind is asked for. A limit that is not positive is 100; None is no limit.
     """
     m = _PATTERN.match(text)
     if not m:
@@ -108,7 +113,7 @@ def pattern(g: Graph, text: str, limit: int | None = 100) -> DataFrame:
         if want:
             e = e.join(g.nodes.where(F.col("kind") == want).select("repo", F.col("id").alias(end)), ["repo", end], "left_semi")
     e = e.select("repo", "ord", "src", "dst", "kind").orderBy("ord", "repo")
-    return e if not limit or limit < 0 else e.limit(limit)
+    return e if limit is None else e.limit(limit if limit > 0 else 100)
 
 
 def top_graph(g: Graph, limit: int) -> tuple[DataFrame, DataFrame]:
@@ -117,10 +122,10 @@ def top_graph(g: Graph, limit: int) -> tuple[DataFrame, DataFrame]:
         return g.nodes, g.edges
     d = g.nodes.join(degree(g.edges), ["repo", "id"], "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     top = d.orderBy(F.desc("degree"), "repo", "id").limit(limit)
-    ids = top.select("repo", "id")
+    ids = keep(top.select("repo", "id"), "top")  # its size is known now, so it is broadcast if it is small
     e = g.edges
     for end in ("src", "dst"):
-        e = e.join(F.broadcast(ids.withColumnRenamed("id", end)), ["repo", end], "left_semi")  # `limit` rows
+        e = e.join(ids.withColumnRenamed("id", end), ["repo", end], "left_semi")
     return top, e
 
 
@@ -148,23 +153,27 @@ def inside(root: str | Column, path: str | Column) -> Column:
     return (norm == top) | norm.startswith(F.concat(top, F.lit("/")))
 
 
-def source_slices(g: Graph, sources: DataFrame, seeds: DataFrame, before: int = 3, after: int = 120) -> DataFrame:
+ROOTS = "/srv/index/"
+"""Where repos lie whose registry says nothing else."""
+
+
+def source_slices(g: Graph, sources: DataFrame, seeds: DataFrame, before: int = 3, after: int = 120, roots: DataFrame | None = None) -> DataFrame:
     """(repo, id, file, start_line, code, lang): the lines around each (repo, id) of seeds.
 
-    before outside 0..50 is 3, after outside 1..400 is 120. A symbol without a line shows the head of its file. A line beyond the end of the file gives ''. Files outside the root,
-    /srv/index/<repo>, are not shown.
+    before outside 0..50 is 3, after outside 1..400 is 120. A symbol without a line shows the head of its file. A line beyond the end of the file gives ''. Files outside the root that
+    `roots` (repo, root) has for the repo, or ROOTS<repo> without it, are not shown. Of several contents of a file the least holds. A file is cut into lines once, whatever the number of its symbols.
     """
     before = before if 0 <= before <= 50 else 3
     after = after if 0 < after <= 400 else 120
-    files = sources.where("content IS NOT NULL").groupBy("file").agg(F.min("content").alias("content"))
     at = g.nodes.join(seeds.select("repo", "id").distinct(), ["repo", "id"], "left_semi").where("file <> ''").select("repo", "id", "file", "line")
-    lines = F.split(F.col("content"), "\n")
+    at = at.withColumn("root", F.concat(F.lit(ROOTS), F.col("repo"))) if roots is None else at.join(roots.select("repo", "root"), "repo")
+    at = at.where(inside("root", "file"))
+    files = sources.where("content IS NOT NULL").join(at.select("repo", "file").distinct(), ["repo", "file"], "left_semi").groupBy("repo", "file").agg(F.min("content").alias("content"))
+    files = files.select("repo", "file", F.split("content", "\n").alias("lines"))
     start = F.greatest(F.when(F.col("line") == 0, 1).otherwise(F.col("line") - before), F.lit(1))
-    end = F.least(F.when(F.col("line") == 0, after).otherwise(F.col("line") + after), F.size(lines))
-    got = at.join(files, "file").withColumn("start_line", start).withColumn("n", F.greatest(end - start + 1, F.lit(0)))
-    code = F.array_join(F.slice(lines, F.col("start_line"), F.col("n")), "\n")
-    ok = inside(F.concat(F.lit("/srv/index/"), F.col("repo")), F.col("file"))
-    return got.where(ok).select("repo", "id", "file", "start_line", code.alias("code"), language().alias("lang"))
+    end = F.least(F.when(F.col("line") == 0, after).otherwise(F.col("line") + after), F.size("lines"))
+    got = at.join(files, ["repo", "file"]).withColumn("start_line", start).withColumn("n", F.greatest(end - start + 1, F.lit(0)))
+    return got.select("repo", "id", "file", "start_line", F.array_join(F.slice("lines", F.col("start_line"), F.col("n")), "\n").alias("code"), language().alias("lang"))
 
 
 def explorer_tree(g: Graph) -> DataFrame:

@@ -55,7 +55,7 @@ def pdgs(spark, d: str) -> DataFrame:
 
 
 def pdg_of(stored: DataFrame, seeds: DataFrame) -> DataFrame:
-    """The first summary by ord of each (repo, id) of seeds."""
+    """The first summary by ord of each (repo, id) of seeds; the least one where summaries have no ord."""
     own = stored.join(seeds.select("repo", "id").distinct(), ["repo", "id"], "left_semi")
     cols = [c for c in stored.columns if c not in ("repo", "id")]
-    return own.groupBy("repo", "id").agg(F.min_by(F.struct(*cols), "ord").alias("p")).select("repo", "id", *(F.col(f"p.{c}").alias(c) for c in cols))
+    return own.groupBy("repo", "id").agg(F.min_by(F.struct(*cols), F.col("ord") if "ord" in cols else F.struct(*cols)).alias("p")).select("repo", "id", *(F.col(f"p.{c}").alias(c) for c in cols))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators import changes, community, digest, extract, flow, groups, lookup, rename, search, shape, taint, traverse
+from weftline.operators import changes, community, digest, extract, flow, frontend, groups, lookup, rename, search, shape, taint, traverse
 from weftline.operators.graph import Graph, kept, load
 from weftline.sources.store import fingerprint, stale
 from weftline.sources.tables import table
@@ -421,3 +421,15 @@ def prints(spark: SparkSession, d: str) -> DataFrame:
 
 
 query("staleness", "SELECT DISTINCT repo, coalesce(lang, '') AS lang FROM sources WHERE coalesce(lang, '') <> 'go'")(lambda g, s, d: stale(prints(s, d), prints(s, d).where("lang = 'go'")))
+
+
+# --- read off the sources by the syntactic front end
+
+query("source_nodes")(lambda g, s, d: frontend.graph_of(table(s, d, "sources")).nodes.withColumn("fields", F.array_join("fields", ",")))
+query("source_edges")(lambda g, s, d: frontend.graph_of(table(s, d, "sources")).edges.groupBy("repo", "src", "dst", "kind").agg(F.count(F.lit(1)).alias("n")))
+query(
+    "source_imports",
+    r"""WITH f AS (SELECT DISTINCT repo, file, replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM sources WHERE content IS NOT NULL AND ends_with(lower(file), '.go') AND NOT ends_with(lower(file), '_test.go')),
+    b AS (SELECT repo, file, unnest(regexp_extract_all(t, '(?:^|\n)import \(([^)]*)\)', 1)) AS x FROM f UNION ALL SELECT repo, file, unnest(regexp_extract_all(t, '(?:^|\n)import ((?:[\w.]+ )?"[^"\n]+")', 1)) FROM f)
+    SELECT DISTINCT repo, file, spec FROM (SELECT repo, file, unnest(regexp_extract_all(x, '"([^"\n]+)"', 1)) AS spec FROM b)""",
+)(lambda g, s, d: frontend.raw(table(s, d, "sources")).where("record = 'import' AND endswith(lower(file), '.go')").select("repo", "file", F.col("a").alias("spec")).distinct())

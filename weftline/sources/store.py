@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import uuid
+from collections.abc import Callable
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,39 +52,76 @@ def read_payload(spark: SparkSession, path: str) -> Graph:
     return Graph(n, e, t, rows.where("record = 'shape'").select("repo", "object", "props", "file"))
 
 
-def save(g: Graph, path: str) -> None:
-    """The graph as Parquet by repo; only the repos it holds are overwritten."""
-    for name, df in (("nodes", g.nodes), ("edges", g.edges), ("routes", g.routes), ("shapes", g.shapes)):
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    to = jvm.org.apache.hadoop.fs.Path
+    return to(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), to
+
+
+def _folders(fs, path) -> list[str]:
+    return sorted(x.getPath().getName() for x in fs.listStatus(path) if x.isDirectory()) if fs.exists(path) else []
+
+
+def _replace(spark: SparkSession, tables: dict[str, DataFrame | None], path: str, by: list[str]) -> None:
+    """Writes the tables beside the stored ones, then puts each partition that any of them has in the place of the old: in tables where it has no rows now, the old one goes."""
+    fs, to = _fs(spark, path)
+    new = f"{path}/_new-{uuid.uuid4().hex}"
+    for name, df in tables.items():
         if df is not None:
-            df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo").parquet(f"{path}/{name}")
+            df.write.partitionBy(*by).parquet(f"{new}/{name}")
+    parts: set[str] = set()
+    for name in tables:
+        firsts = _folders(fs, to(f"{new}/{name}"))
+        parts |= {f"{a}/{b}" for a in firsts for b in _folders(fs, to(f"{new}/{name}/{a}"))} if len(by) > 1 else set(firsts)
+    for name, df in tables.items():
+        for part in sorted(parts) if df is not None else ():
+            fs.delete(to(f"{path}/{name}/{part}"), True)
+            if fs.exists(to(f"{new}/{name}/{part}")):
+                fs.mkdirs(to(f"{path}/{name}/{part}").getParent())
+                fs.rename(to(f"{new}/{name}/{part}"), to(f"{path}/{name}/{part}"))
+    fs.delete(to(new), True)
 
 
-def stored(spark: SparkSession, path: str) -> Graph:
-    """The graph that save wrote. A filter on repo reads that repo's files only."""
-    read = lambda name, s: spark.read.schema(s).parquet(f"{path}/{name}").select(*[c.split()[0] for c in s.split(", ") if " " in c])  # noqa: E731  the partition column comes last in files
+def save(g: Graph, path: str) -> None:
+    """The graph as Parquet by repo. The repos it holds are replaced whole, in every table; others stay. Without shapes, stored shapes of its repos stay too."""
+    _replace(g.nodes.sparkSession, {"nodes": g.nodes, "edges": g.edges, "routes": g.routes, "shapes": g.shapes}, path, ["repo"])
+
+
+def forget_repo(spark: SparkSession, path: str, repo: str) -> None:
+    """Deletes what save wrote of a repo."""
+    fs, to = _fs(spark, path)
+    for name in _folders(fs, to(path)):
+        for part in _folders(fs, to(f"{path}/{name}")):
+            if part == f"repo={spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(repo)}":
+                fs.delete(to(f"{path}/{name}/{part}"), True)
+
+
+def _or_none(spark: SparkSession, read: Callable[[], DataFrame], ddl: str) -> DataFrame:
+    """What is read, or no rows if nothing was written there."""
     try:
-        shapes = read("shapes", schema.SHAPES)
-        shapes.limit(0).collect()
-    except Exception:
-        shapes = None
-    return Graph(read("nodes", schema.NODES), read("edges", schema.EDGES), read("routes", schema.ROUTES), shapes)
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return spark.createDataFrame([], ddl)
+
+
+def stored(spark: SparkSession, path: str) -> Graph:
+    """The graph that save wrote. A filter on repo reads that repo's files only; tables that were never written are empty."""
+    columns = lambda s: spark.createDataFrame([], s).columns  # noqa: E731  the partition column comes last in files
+    read = lambda name, s: _or_none(spark, lambda: spark.read.schema(s).parquet(f"{path}/{name}").select(*columns(s)), s)
+    return Graph(read("nodes", schema.NODES), read("edges", schema.EDGES), read("routes", schema.ROUTES), read("shapes", schema.SHAPES))
 
 
 def save_language(g: Graph, manifest: DataFrame, path: str) -> None:
-    """One language's part of repos with its fingerprints: only the (repo, lang) partitions that manifest (repo, lang, fingerprint) names are overwritten."""
+    """One language's part of repos with its fingerprints: only the (repo, lang) parts that manifest (repo, lang, fingerprint) names are replaced, whole."""
     langs = manifest.select("repo", "lang")
-    for name, df in (("nodes", g.nodes), ("edges", g.edges), ("routes", g.routes)):
-        df.join(langs, "repo").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo", "lang").parquet(f"{path}/{name}")
-    manifest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo", "lang").parquet(f"{path}/manifest")
+    part = {name: df.join(langs, "repo") for name, df in (("nodes", g.nodes), ("edges", g.edges), ("routes", g.routes))}
+    _replace(manifest.sparkSession, part | {"manifest": manifest}, path, ["repo", "lang"])
 
 
 def _json_or_none(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    try:
-        return spark.read.schema(ddl).json(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], ddl)
+    return _or_none(spark, lambda: spark.read.schema(ddl).json(path), ddl)
 
 
 def groups(spark: SparkSession, path: str) -> DataFrame:
@@ -107,24 +147,33 @@ def write_page(text: str, path: str) -> str:
     return path
 
 
-# The topics that every repo gets a page on.
+# The topics that every repo gets a page on. Which questions belong to each is ours.
 TOPICS = {
-    "exploring": "Start from `repos`, then `entry_points` and `query`; `context` shows what surrounds a symbol.",
-    "debugging": "`trace` finds how one symbol reaches another, `process` what runs below an entry point.",
-    "impact-analysis": "`impact` lists who depends on a symbol before it is edited, `detect_changes` what a diff touches, `api_impact` what lies behind routes.",
-    "refactoring": "`rename` plans before it writes: read the plan and its confidence, apply it, then look at `detect_changes`.",
-    "guide": "`tool_map` lists all questions; most take a repo.",
-    "cli": "`python -m weftline.cli FOLDER COMMAND` asks the same questions from a shell.",
+    "exploring": ("repos", "query", "context", "entry_points"),
+    "debugging": ("trace", "process", "explain"),
+    "impact-analysis": ("impact", "detect_changes", "api_impact"),
+    "refactoring": ("rename", "shape_check", "check"),
+    "guide": ("tool_map",),
+    "cli": ("status", "index", "reindex"),
 }
 
 
 def write_notes(areas: DataFrame, repo: str, folder: str) -> list[str]:
-    """A page per topic and one per community of the repo (rows of digest.area_notes); returns the paths, sorted."""
-    page = lambda name, title, body: write_page(f"---\nname: {name}\nrepo: {repo}\n---\n\n# {title}\n\n{body}\n", os.path.join(folder, f"{name}.md"))
-    done = [page(n, n.capitalize(), body) for n, body in TOPICS.items()]
+    """A page per topic, of what the questions' own documentation says, and one per community of the repo (rows of digest.area_notes); returns the paths, sorted.
+
+    Communities of one slug are told apart by a number.
+    """
+    from weftline.api import Engine
+
+    def page(name: str, body: list[str]) -> str:
+        return write_page("\n".join([f"# {name}", "", f"repo: {repo}", "", *body, ""]), os.path.join(folder, f"{name}.md"))
+
+    done = [page(topic, [f"- `{m}`: {(getattr(Engine, m).__doc__ or m).strip().splitlines()[0]}" for m in methods]) for topic, methods in TOPICS.items()]
+    used: dict[str, int] = {}
     for r in areas.where(F.col("repo") == repo).orderBy("slug", "community").toLocalIterator():
-        done.append(page(r.slug, f"Area: {r['name']}", f"**{r['name']}** holds {r['size']} symbols, among them {', '.join(r.members)}."))
-    return sorted(set(done))
+        used[r.slug] = k = used.get(r.slug, 0) + 1
+        done.append(page(r.slug if k == 1 else f"{r.slug}-{k}", [f"Module {r['name']}, symbols: {r['size']}", "", *(f"- {m}" for m in r.members)]))
+    return sorted(done)
 
 
 def registry(spark: SparkSession, path: str) -> DataFrame:
@@ -158,9 +207,9 @@ def owner_of(known: DataFrame, file: str) -> str | None:
     return got
 
 
-def listing(spark: SparkSession, folder: str, lang: str) -> DataFrame:
-    """(path, size, mtime) of a language's source files below a folder; contents are not read. Skipped folders hold for all languages; tests of Go are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+def listing(spark: SparkSession, folder: str, lang: str, contents: bool = False) -> DataFrame:
+    """(path, size, mtime) of a language's source files below a folder; contents are read only if they are wanted, as a column of bytes. Skipped folders hold for all languages; tests of Go are left out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), *["content"] * contents)
     rel = F.regexp_replace("path", "^[a-z]+:/*", "/")
     ok = F.lower(rel).rlike(EXTENSIONS[lang]) & ~rel.rlike("/(" + "|".join(s.replace(".", r"\.") for s in SKIP) + ")/")
     if lang == "go":
