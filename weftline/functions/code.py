@@ -52,19 +52,25 @@ class Tokens:
 
 def lex_go(text: str) -> Tokens:
     out = Tokens()
+    kinds, texts, at, ends = out.kind.append, out.text.append, out.at.append, out.end.append
     for m in _GO.finditer(text):
         kind = m.lastgroup
+        lo, hi = m.span()
         if kind == "c":
-            out.comments.append(m.span())
-        else:
-            out.add(kind, m[0] if kind in "wp" else "", m.start(), m.end())
+            out.comments.append((lo, hi))
+            continue
+        kinds(kind)
+        texts(m[0] if kind == "w" or kind == "p" else "")
+        at(lo)
+        ends(hi)
     return out
 
 
 def lex_js(text: str, start: int, end: int, out: Tokens) -> None:
     at, depth, templates = start, 0, []  # templates: brace depths at which a template literal goes on
+    kinds, texts, places, ends, match = out.kind.append, out.text.append, out.at.append, out.end.append, _JS.match
     while at < end:
-        m = _JS.match(text, at, end)
+        m = match(text, at, end)
         if m is None:  # white space, or what no rule takes
             m = _SPACE.match(text, at, end)
             at = m.end() if m else at + 1
@@ -103,7 +109,10 @@ def lex_js(text: str, start: int, end: int, out: Tokens) -> None:
             else:
                 out.add("s", "", here, at)
             continue
-        out.add(kind, word if kind in "wpa" or (kind == "o" and word[:1].isdigit()) else word[:1] if kind == "o" else "", here, at)
+        kinds(kind)
+        texts(word if kind in "wpa" or (kind == "o" and word[:1].isdigit()) else word[:1] if kind == "o" else "")
+        places(here)
+        ends(at)
 
 
 def pairs(t: Tokens) -> dict[int, int]:
@@ -111,9 +120,10 @@ def pairs(t: Tokens) -> dict[int, int]:
     close: dict[int, int] = {}
     stack: list[int] = []
     of: dict[str, list[int]] = {x: [] for x in _CLOSE.values()}  # places in the stack by what closes them
-    for i, (kind, x) in enumerate(zip(t.kind, t.text, strict=True)):
+    for i, kind in enumerate(t.kind):
         if kind != "p":
             continue
+        x = t.text[i]
         if x in _CLOSE:
             of[_CLOSE[x]].append(len(stack))
             stack.append(i)
