@@ -1,9 +1,7 @@
 """Problem 5: functions paired with their documentation.
 
-One pass of a state machine over each file knows strings, template literals, regular expressions and comments, so that code
-inside them is not taken for code. A second pass over the tokens matches brackets: it finds where each function's body starts and
-ends and what kind of braces (class, object literal, block) surround it. A comment belongs to a function if it ends on the line right above
-the declaration. Files are independent, so the operator is one mapInArrow without a shuffle but that for repeated rows.
+The core's lexer (`functions.code`), a state machine that knows strings and comments, finds the functions and where their braces match. A comment belongs to a function if
+it ends on the line right above the declaration. Files are independent, so the operator is one mapInArrow without a shuffle but that for repeated rows.
 """
 
 from __future__ import annotations
@@ -13,367 +11,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 import regex as re
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-LEAST_WORDS = 4
-
-# Extensions of the languages that are read.
-GO = (".go",)
-SCRIPT = (".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs")
-MARKUP = (".vue", ".svelte")
-
-_COMMENT = r"//[^\n]*|/\*(?:[^*]|\*(?!/))*+(?:\*/|\Z)"
-_GO = re.compile(rf"(?P<c>{_COMMENT})|(?P<s>\"(?:[^\"\\\n]|\\.)*+\"?|`[^`]*+`?|'(?:[^'\\\n]|\\.)*+'?)|(?P<w>[\p{{L}}_][\p{{L}}\p{{N}}_]*+)|(?P<n>\n)|(?P<p>[{{}}()\[\].,;:*=<>])|(?P<o>[^\s\p{{L}}_{{}}()\[\].,;:*=<>\"'`/]++|/)")
-_JS = re.compile(
-    rf"(?P<c>{_COMMENT}|<!--.*?(?:-->|\Z))|(?P<s>\"(?:[^\"\\\n]|\\[\s\S])*+\"?|'(?:[^'\\\n]|\\[\s\S])*+'?)|(?P<t>`)|(?P<w>[\p{{L}}_$\#@][\p{{L}}\p{{N}}_$]*+)|(?P<n>\n)|(?P<a>=>)|(?P<p>[{{}}()\[\].,;:*=<>?/])|(?P<o>[^\s\p{{L}}_$\#@{{}}()\[\].,;:*=<>?\"'`/]++)",
-    re.S,
-)
-_TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*+(`|\$\{|\Z)", re.S)
-_REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/\w*")
-_SCRIPTS = re.compile(r"<script\b[^>]*>(.*?)(?:</script\s*>|\Z)", re.S | re.I)
-_BEFORE_REGEX = {"return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "else", "do", "await", "yield"}
-_CLOSE = {"(": ")", "[": "]", "{": "}"}
-_OPEN = {y: x for x, y in _CLOSE.items()}
-_MODIFIERS = {"public", "private", "protected", "static", "async", "override", "readonly", "get", "set", "abstract", "declare", "accessor"}
-_CONTROL = {"if", "for", "while", "switch", "catch", "with", "return", "function", "else", "do", "try", "new", "await", "typeof", "throw"}
-
-
-class _Tokens:
-    """Kinds, texts and places of the code tokens of one file, and its comments as (start, end)."""
-
-    def __init__(self) -> None:
-        self.kind: list[str] = []
-        self.text: list[str] = []
-        self.at: list[int] = []
-        self.comments: list[tuple[int, int]] = []
-
-    def add(self, kind: str, text: str, at: int) -> None:
-        self.kind.append(kind)
-        self.text.append(text)
-        self.at.append(at)
-
-
-def _lex_go(text: str) -> _Tokens:
-    out = _Tokens()
-    for m in _GO.finditer(text):
-        kind = m.lastgroup
-        if kind == "c":
-            out.comments.append(m.span())
-        else:
-            out.add(kind, m[0] if kind in "wp" else "", m.start())
-    return out
 
+from weftline.functions.code import GO, MARKUP, SCRIPT, SCRIPTS, Tokens, go_functions, js_functions, lex_js
 
-def _lex_js(text: str, start: int, end: int, out: _Tokens) -> None:
-    at, depth, templates = start, 0, []  # templates: brace depths at which a template literal goes on
-    while at < end:
-        m = _JS.match(text, at, end)
-        if m is None:  # white space
-            at += 1
-            continue
-        kind, word, here = m.lastgroup, m[0], at
-        at = m.end()
-        if kind == "c":
-            out.comments.append(m.span())
-            continue
-        if word == "/":
-            k = len(out.kind) - 1
-            while k >= 0 and out.kind[k] == "n":
-                k -= 1
-            value = k >= 0 and (out.kind[k] in "sr" or (out.kind[k] == "w" and out.text[k] not in _BEFORE_REGEX) or (out.kind[k] == "o" and out.text[k][:1].isdigit()) or out.text[k] in (")", "]", "}"))
-            r = None if value else _REGEX.match(text, here, end)
-            if r:
-                at = r.end()
-                out.add("r", "", here)
-                continue
-        if word == "{":
-            depth += 1
-        elif word == "}":
-            if templates and templates[-1] == depth:
-                templates.pop()
-                depth -= 1
-                kind, here = "t", here
-            else:
-                depth -= 1
-        if kind == "t":
-            m = _TEMPLATE.match(text, at, end)
-            at = m.end()
-            if m[1] == "${":
-                depth += 1
-                templates.append(depth)
-                out.add("p", "\0", here)  # an operand follows, as after an opening bracket; its end is the string
-            else:
-                out.add("s", "", here)
-            continue
-        out.add(kind, word if kind in "wpa" or (kind == "o" and word[:1].isdigit()) else word[:1] if kind == "o" else "", here)
-
-
-def _pairs(t: _Tokens) -> dict[int, int]:
-    """Opening bracket to the bracket that closes it; what stays open ends before the bracket that closes one around it, or with the file."""
-    close: dict[int, int] = {}
-    stack: list[int] = []
-    of: dict[str, list[int]] = {x: [] for x in _CLOSE.values()}  # places in the stack by what closes them
-    for i, (kind, x) in enumerate(zip(t.kind, t.text, strict=True)):
-        if kind != "p":
-            continue
-        if x in _CLOSE:
-            of[_CLOSE[x]].append(len(stack))
-            stack.append(i)
-        elif x in of and of[x]:  # brackets that don't match are passed over
-            j = of[x][-1]
-            close[stack[j]] = i
-            for y in stack[j:]:
-                of[_CLOSE[t.text[y]]].pop()
-            close |= dict.fromkeys(stack[j + 1 :], i - 1)
-            del stack[j:]
-    return close | dict.fromkeys(stack, len(t.kind))
-
-
-def _go_functions(text: str) -> Iterator[tuple[int, str, int, int, _Tokens]]:
-    """(start, name, start of the body, end, tokens) of each func declaration with a body."""
-    t = _lex_go(text)
-    close = _pairs(t)
-    i, n = 0, len(t.kind)
-    fresh = True  # at the start of a line or after ;
-    while i < n:
-        x = t.text[i]
-        if t.kind[i] == "n" or x == ";":
-            fresh = True
-            i += 1
-            continue
-        if fresh and t.kind[i] == "w" and x == "func":
-            j = i + 1
-            if j < n and t.text[j] == "(":  # receiver
-                j = close[j] + 1
-            if j < n and t.kind[j] == "w":
-                name, j = t.text[j], j + 1
-                if j < n and t.text[j] == "[":
-                    j = close[j] + 1
-                if j < n and t.text[j] == "(":
-                    j = close[j] + 1
-                    while j < n and t.kind[j] != "n" and t.text[j] != ";":
-                        if t.text[j] == "{" and t.text[j - 1] not in ("interface", "struct"):
-                            end = close[j]
-                            yield t.at[i], name, t.at[j], t.at[end] + 1 if end < n else len(text), t
-                            i = end
-                            break
-                        j = close[j] + 1 if t.text[j] in _CLOSE and j in close else j + 1
-        fresh = False
-        i = close[i] + 1 if i < n and t.text[i] in _CLOSE and t.kind[i] == "p" else i + 1
-
-
-def _js_functions(text: str, t: _Tokens) -> Iterator[tuple[int, str, int, int, _Tokens]]:
-    """The same for function declarations, functions held by a const, and methods of classes and object literals, at any depth."""
-    n = len(t.kind)
-    code = [i for i in range(n) if t.kind[i] != "n"]  # line ends matter only where a statement begins
-    first = bytearray(n + 1)  # code tokens that start a line
-    for i in range(1, n):
-        first[i] = t.kind[i - 1] == "n"
-    if n:
-        first[0] = 1
-    kind, word, at, begins = [t.kind[i] for i in code], [t.text[i] for i in code], [t.at[i] for i in code], [first[i] for i in code]
-    n = len(code)
-    c = _Tokens()
-    c.kind, c.text, c.at = kind, word, at
-    close = _pairs(c)
-
-    generics: dict[int, int] = {}  # < to the > that closes it, within the same brackets and statement
-    ends: set[int] = set()
-    opened: list[tuple[str, int]] = []  # < and where it is, or a bracket and where it ends
-    for i in range(n):
-        while opened and opened[-1][0] == "<" and word[i] == ";":
-            opened.pop()
-        if kind[i] != "p":
-            continue
-        if word[i] == "<":
-            opened.append(("<", i))
-        elif word[i] == ">" and opened and opened[-1][0] == "<":
-            generics[opened.pop()[1]] = i
-        elif word[i] in _CLOSE and i in close:
-            opened.append((word[i], close[i]))
-            if close[i] < n and word[close[i]] == _CLOSE[word[i]]:
-                ends.add(close[i])
-        elif i in ends:
-            while opened.pop() != (_OPEN[word[i]], i):
-                pass
-
-    def after_generics(j: int) -> int:
-        """Behind <...> if that is what stands at j."""
-        return generics[j] + 1 if j in generics else j
-
-    walked: dict[tuple[int, bool, tuple[str, ...]], int] = {}  # where types from a token on end
-
-    def behind_type(j: int, stop: tuple[str, ...]) -> int:
-        """The place of the first of `stop` behind a type that begins at j; n if there is none. No token is walked twice."""
-        wants = True  # the type is not complete yet
-        way, end = [], n
-        while j < n:
-            if (j, wants, stop) in walked:
-                end = walked[j, wants, stop]
-                break
-            way.append((j, wants, stop))
-            x = word[j]
-            if x in stop and (not wants or x != "{"):
-                end = j
-                break
-            if x in (";", ")", "]", "}", ",", "const", "let", "var", "return", "export") or (x == "import" and word[j + 1 : j + 2] != ["("]) or (begins[j] and not wants and x not in ("|", "&", ".", "[", "<")):
-                break
-            if x == "<":
-                k = after_generics(j)
-                j, wants = (k, False) if k > j else (j + 1, True)
-                continue
-            if kind[j] == "p" and x in _CLOSE and j in close:
-                j, wants = close[j] + 1, False
-                continue
-            wants = kind[j] == "o" or x in ("|", "&", ":", "?", ".") or kind[j] == "a" or x in ("is", "keyof", "typeof", "extends", "readonly", "infer", "asserts", "unique")
-            j += 1
-        walked.update(dict.fromkeys(way, end))
-        return end
-
-    def body_of(j: int, arrow: bool) -> tuple[int, int] | None:
-        """(first token, last token) of the body of a function whose parameters open at j."""
-        j = after_generics(j)
-        if j >= n:
-            return None
-        if word[j] == "(":
-            if j not in close:
-                return None
-            j = close[j] + 1
-            if j < n and word[j] == ":":
-                j = behind_type(j + 1, ("=>",) if arrow else ("{",))
-        elif arrow and kind[j] == "w":
-            j += 1
-        else:
-            return None
-        if arrow:
-            if j >= n or word[j] != "=>" or j + 1 >= n:
-                return None
-            j += 1
-            if word[j] != "{":  # an expression: to the end of the statement or member
-                k = j
-                while k < n and word[k] not in (";", ",", ")", "]", "}"):
-                    if k > j and begins[k] and (kind[k] == "w" and kind[k - 1] in "wsr"):
-                        break
-                    k = close[k] + 1 if kind[k] == "p" and word[k] in _CLOSE and k in close else k + 1
-                return j, max(j, min(k, n) - 1)
-        return (j, min(close[j], n - 1)) if j < n and word[j] == "{" else None
-
-    def valued(j: int) -> tuple[int, int] | None:
-        """The body of a function expression at j."""
-        if j < n and word[j] == "async" and kind[j] == "w":
-            j += 1
-        if j < n and word[j] == "function":
-            j += 1
-            j += j < n and word[j] == "*"
-            if j < n and kind[j] == "w":
-                j += 1
-            return body_of(j, False)
-        if j < n and word[j] == "(" and j in close and close[j] + 1 < n and word[close[j] + 1] not in ("=>", ":"):
-            return valued(j + 1) if word[close[j] + 1] not in ("(", ".") and j + 1 < n and word[j + 1] in ("async", "function", "(") else None
-        return body_of(j, True)
-
-    inside: list[tuple[str, int]] = []  # kind of brace, where it ends
-    pending = ""  # what the next brace of this statement opens
-    i = 0
-    while i < n:
-        x, k = word[i], kind[i]
-        while inside and i >= inside[-1][1]:
-            inside.pop()
-        where = inside[-1][0] if inside else "block"
-        before = word[i - 1] if i else ""
-        if k == "p" and x in _CLOSE:
-            if x == "{":
-                if pending == "class" and before in ("<", ",", ":", "(", "|", "&"):  # within what the class extends
-                    what = "type"
-                elif pending:
-                    what, pending = pending, ""
-                elif i and (before in ("=", "(", ",", "[", ":", "?", "return", "default", "\0") and kind[i - 1] in "pw" or (kind[i - 1] == "o" and before in "&|!+-") or (before in ("in", "of", "throw", "yield", "await", "new") and kind[i - 1] == "w")):
-                    what = "object"
-                else:
-                    what = "block"
-                inside.append((what, close.get(i, n)))
-            else:
-                inside.append((x, close.get(i, n)))
-            i += 1
-            continue
-        if k == "w" and x in ("class", "interface", "enum", "namespace", "module") and before != "." and i + 1 < n and word[i + 1] not in (":", ",", "=", ")", ".", "("):
-            if x in ("class",) or (kind[i + 1] in "ws" and (begins[i] or before in ("export", "declare", "default", "abstract", "const", ";", "{", "}"))):
-                pending = {"class": "class", "namespace": "block", "module": "block"}.get(x, "type")
-        if k == "w" and x == "type" and i + 2 < n and kind[i + 1] == "w" and not begins[i + 1] and word[i + 2] in ("=", "<"):
-            pending = "type"
-        if x == ";":
-            pending = ""
-        found = None
-        if k == "w" and where in ("block", "\0"):
-            if x == "function" and before not in (".", "=", "(", ",", ":", "?", "return", "[", "=>"):
-                s = i
-                while s and kind[s - 1] == "w" and word[s - 1] in ("async", "default", "export", "declare"):
-                    s -= 1
-                j = i + 1
-                j += j < n and word[j] == "*"
-                if (s == 0 or begins[s] or word[s - 1] in (";", "{", "}", ")") ) and j < n and kind[j] == "w":
-                    found = (s, word[j], body_of(j + 1, False))
-            elif x == "const" and i + 2 < n and kind[i + 1] == "w" and word[i + 1] != "enum":
-                s = i
-                while s and kind[s - 1] == "w" and word[s - 1] in ("export", "declare"):
-                    s -= 1
-                j = i + 2
-                if word[j] == ":":
-                    j = behind_type(j + 1, ("=",))
-                if j < n and word[j] == "=":
-                    found = (s, word[i + 1], valued(j + 1))
-        if where == "class" and k in "wsop[" and (before in ("{", "}", ";") or begins[i]) and not pending:
-            s = j = i
-            while j < n and word[j].startswith("@") and kind[j] == "w":  # decorators
-                j += 1
-                while j < n and word[j] == ".":
-                    j += 2
-                if j < n and word[j] == "(":
-                    j = close.get(j, n) + 1
-            while j + 1 < n and kind[j] == "w" and word[j] in _MODIFIERS and word[j + 1] not in ("(", "=", ":", ";", "?", "<"):
-                j += 1
-            j += j < n and word[j] == "*"
-            name = None
-            if j < n and kind[j] in "ws":
-                name, j = word[j], j + 1
-            elif j < n and word[j] == "[":
-                name, j = "", close.get(j, n) + 1
-            if name is not None and j < n:
-                q = j + (word[j] == "?")
-                if q < n and word[q] in ("(", "<") and name not in _CONTROL - {"return", "new", "catch", "with", "delete", "do", "if", "for", "else"}:
-                    found = (s, name, body_of(q, False))
-                else:  # a property that holds a function
-                    if word[q : q + 1] == [":"]:
-                        q = behind_type(q + 1, ("=",))
-                    if q < n and word[q] == "=":
-                        found = (s, name, valued(q + 1))
-            if found is None and j > i:
-                i = max(i, s)
-        if where == "object" and (before in ("{", ",")) and (i == 0 or kind[i - 1] == "p"):
-            s = j = i
-            while j + 1 < n and kind[j] == "w" and word[j] in ("async", "get", "set") and word[j + 1] not in ("(", ":", ",", "}"):
-                j += 1
-            j += j < n and word[j] == "*"
-            name = None
-            if j < n and kind[j] in "ws":
-                name, j = word[j], j + 1
-            elif j < n and word[j] == "[":
-                name, j = "", close.get(j, n) + 1
-            if name is not None and j < n:
-                if word[j] in ("(", "<"):
-                    found = (s, name, body_of(j, False))
-                elif word[j] == ":":
-                    found = (s, name, valued(j + 1))
-        if found and found[2]:
-            s, name, (b, e) = found
-            yield at[s], name, at[b], at[e] + 1, t
-            if word[b] == "{":  # go on inside: parameters can't hold declarations
-                inside.append(("block", close.get(b, n)))
-                pending = ""
-                i = b + 1
-                continue
-        i += 1
-
+LEAST_WORDS = 4
 
 _TAG = re.compile(r"^\s*(?:\{?@|\\[a-z]+\b)")
 # How notes to compilers, linters, formatters and coverage tools begin.
@@ -386,12 +27,16 @@ _WORD = re.compile(r"\p{Han}|\p{Hiragana}|\p{Katakana}|[\p{L}\p{M}]+(?:['’][\p
 _CAMEL = re.compile(r"\p{Lu}+(?!\p{Ll})|\p{Lu}?[\p{Ll}\p{Lo}]+|\p{N}+")
 
 
+_SLASHES, _ENDS, _MARKUP, _STARS = re.compile(r"^\s*/{2,}[!]?"), re.compile(r"^/\*+!?|\*+/$"), re.compile(r"^<!--|-->$"), re.compile(r"^\s*\*+(?!/)")
+_LINE_END = re.compile(r"\r\n?")
+
+
 def comment_lines(comment: str) -> list[str]:
     """The lines of a comment's text without its marks."""
     if comment.startswith("//"):
-        return [re.sub(r"^\s*/{2,}[!]?", "", x).strip() for x in comment.split("\n")]
-    body = re.sub(r"^/\*+!?|\*+/$", "", comment) if comment.startswith("/*") else re.sub(r"^<!--|-->$", "", comment)
-    return [re.sub(r"^\s*\*+(?!/)", "", x).strip() for x in body.split("\n")]
+        return [_SLASHES.sub("", x).strip() for x in comment.split("\n")]
+    body = _ENDS.sub("", comment) if comment.startswith("/*") else _MARKUP.sub("", comment)
+    return [_STARS.sub("", x).strip() for x in body.split("\n")]
 
 
 def description(comment: str) -> str:
@@ -401,11 +46,13 @@ def description(comment: str) -> str:
 
 def describes(text: str, name: str, least: int = LEAST_WORDS) -> bool:
     """At least `least` different words remain besides those of the function's own name. Han and kana characters count as words each."""
+    if not text:
+        return False
     own = {x.lower() for x in _CAMEL.findall(name)} | {name.lower()} | {x.lower() for x in _WORD.findall(name)}
     return len({x.lower() for x in _WORD.findall(text)} - own) >= least
 
 
-def _comment_above(text: str, t: _Tokens, ends: dict[int, int], lines: list[int], line_of, start: int) -> str | None:
+def _comment_above(text: str, t: Tokens, ends: dict[int, int], lines: list[int], line_of, start: int) -> str | None:
     """The comment that ends on the line right above `start`. `ends`: line to the comment that ends there, if it began its line."""
     line = line_of(start)
     if text[lines[line] : start].strip("﻿ \t\r"):
@@ -430,27 +77,29 @@ def functions(file: str | None, lang: str | None, content: str | None) -> list[t
     """
     if not content:
         return []
-    text = re.sub(r"\r\n?", "\n", content)
+    text = _LINE_END.sub("\n", content) if "\r" in content else content
     name, said = (file or "").lower(), (lang or "").lower()
     go = name.endswith(GO) or ("." not in name.rsplit("/", 1)[-1] and said == "go")
-    t = _Tokens()
+    t = Tokens()
     if go:
-        found = list(_go_functions(text))
+        found = list(go_functions(text))
         t = found[0][4] if found else t
     elif name.endswith(MARKUP) or said in ("vue", "svelte"):
-        for m in _SCRIPTS.finditer(re.sub(r"<!--.*?(?:-->|\Z)", lambda x: re.sub(r"[^\n]", " ", x[0]), text, flags=re.S)):
-            _lex_js(text, m.start(1), m.end(1), t)
-        found = list(_js_functions(text, t))
+        for m in SCRIPTS.finditer(re.sub(r"<!--.*?(?:-->|\Z)", lambda x: re.sub(r"[^\n]", " ", x[0]), text, flags=re.S)):
+            lex_js(text, m.start(1), m.end(1), t)
+        found = list(js_functions(text, t))
     elif name.endswith(SCRIPT) or said in ("typescript", "javascript", "ts", "js", "tsx", "jsx"):
-        _lex_js(text, 0, len(text), t)
-        found = list(_js_functions(text, t))
+        lex_js(text, 0, len(text), t)
+        found = list(js_functions(text, t))
     else:
         return []
     if not found:
         return []
     from bisect import bisect_right
 
-    lines = [0, *(m.end() for m in re.finditer("\n", text))]
+    lines = [0]
+    while (at := text.find("\n", lines[-1])) >= 0:
+        lines.append(at + 1)
     line_of = lambda at: bisect_right(lines, at) - 1
     ends: dict[int, int] = {}
     for k, (s, e) in enumerate(t.comments):
@@ -466,25 +115,36 @@ def functions(file: str | None, lang: str | None, content: str | None) -> list[t
     return out
 
 
-def documented(sources: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """(repo, file, line, name, code, description) of each function whose comment describes it, as often as its file is delivered.
-
-    Columns besides repo, file, lang and content are not read. Nothing is shuffled.
-    """
+def _found(sources: DataFrame, least: int, texts: bool) -> DataFrame:
+    """(repo, file, line[, name, code, description]) of each function whose comment describes it."""
     files = sources.select("repo", "file", "lang", "content").where("content <> ''")
+    cols = ["repo", "file", "line", *["name", "code", "description"] * texts]
+    types = [pa.int32() if c == "line" else pa.string() for c in cols]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in range(0, b.num_rows, 256):
-                rows = []
+                rows: list[tuple] = []
                 for repo, file, lang, content in zip(*(c.to_pylist() for c in b.slice(s, 256).columns), strict=True):
-                    rows += [(repo, file, line, name, code, said) for line, name, code, _, said in functions(file, lang, content) if describes(said, name, least)]
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()), strict=True)], ["repo", "file", "line", "name", "code", "description"])
+                    rows += [(repo, file, line, name, code, said)[: len(cols)] for line, name, code, _, said in functions(file, lang, content) if describes(said, name, least)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*rows, strict=True) if rows else [[]] * len(cols), types, strict=True)], cols)
+
+    return files.mapInArrow(run, ", ".join(f"{c} {'int' if c == 'line' else 'string'}" for c in cols))
+
+
+def documented(sources: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """(repo, file, line, name, code, description) of each function whose comment describes it, as often as its file is delivered.
+
+    Columns besides repo, file, lang and content are not read. Nothing is shuffled.
+    """
+    return _found(sources, least, True)
+
 
-    return files.mapInArrow(run, "repo string, file string, line int, name string, code string, description string")
+def places(sources: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """(repo, file, line) alone: neither code nor description leave the Python worker."""
+    return _found(sources, least, False)
 
 
 def pairs(sources: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """The same, once for repeated rows."""
+    """documented, once for repeated rows."""
     return documented(sources, least).distinct()

@@ -10,7 +10,7 @@ from weftline.sources.tables import table
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return functions_docs.documented(table(spark, d, "sources")).select("repo", "file", "line").distinct()
+    return functions_docs.places(table(spark, d, "sources")).distinct()
 
 
 def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
