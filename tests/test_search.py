@@ -81,3 +81,13 @@ def test_embedding(spark):
     with pytest.raises(Exception, match="vectors received"):
         search.embed(g.nodes, lambda texts: []).collect()
     assert search.most_used(g, 1).first().id == "b"
+
+
+def test_index_gives_the_same_scores(spark):
+    g = graph(spark, {"BuildRepo": {"doc": "builds a repository, parsing queries"}, "ParseQuery": {"doc": "parses the query"}, "Serve": {"doc": None}, "x": {"name": "", "doc": "go go go"}}, [])
+    for stems in (True, False):
+        index = search.build_index(g.nodes, search.node_text(), stems, buckets=4)
+        for q in ("parsing queries", "go Go build", "nothing", "", "the the query"):
+            want = search.bm25_scores(g.nodes, ["repo", "id"], search.node_text(), q, ["repo"], stems)
+            score = lambda df: {r.id: pytest.approx(r.score) for r in df.collect()}
+            assert score(search.index_scores(index, q)) == score(want), (q, stems)

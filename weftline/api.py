@@ -49,6 +49,7 @@ class Engine:
         self._groups = group_list if group_list is not None else none(schema.GROUPS)
         self.guards = guards or Guards()
         self._seen = home.changed() if home else 0
+        self._indexes: dict[str, search.Index] = {}
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, guards: Guards | None = None) -> Engine:
@@ -152,7 +153,9 @@ class Engine:
         """Search hits with the process each takes part in."""
         repo, g = self._of(repo)
         vectors = None if self.vectors is None else self.vectors.where(F.col("repo") == repo)
-        hits = search.search(g, text, self.guards.cap(limit), vector, vectors)
+        if repo not in self._indexes:
+            self._indexes[repo] = search.build_index(g.nodes, search.node_text())
+        hits = search.search(g, text, self.guards.cap(limit), vector, vectors, index=self._indexes[repo])
         return hits.join(g.nodes, ["repo", "id"]).join(flow.process_of(g), ["repo", "id"]).orderBy("rank")
 
     def ask(self, text: str, repo: str = "") -> DataFrame:

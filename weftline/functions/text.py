@@ -45,6 +45,12 @@ def with_stems(tokens: pd.Series) -> pd.Series:
     return tokens.map(lambda ts: None if ts is None else add(ts))
 
 
+@F.pandas_udf(T.StringType())
+def stem_of(words: pd.Series) -> pd.Series:
+    """The stem of each word; meant for distinct words."""
+    return words.map(stem)
+
+
 def tokens(text: Column, stems: bool = True) -> Column:
     """words, with stems if wanted."""
     return with_stems(words(text)) if stems else words(text)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.sources.scratch import keep
+
 # Router methods and the HTTP method they register; suffixes tried for a relative import.
 ROUTE_METHODS = {"HandleFunc": "ANY", "Handle": "ANY", "GET": "GET", "POST": "POST", "PUT": "PUT", "DELETE": "DELETE", "PATCH": "PATCH", "HEAD": "HEAD", "OPTIONS": "OPTIONS"}
 IMPORT_SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", ".vue", "/index.ts", "/index.tsx", "/index.js", "/index.vue")
@@ -20,14 +22,16 @@ def struct_fields(raw: DataFrame) -> DataFrame:
 def implements(methods: DataFrame) -> DataFrame:
     """(repo, src, dst): types whose methods, by value or by pointer, hold all of a non-empty interface's. methods: (repo, owner, is_interface, generic, signature).
 
-    Types meet interfaces on shared signatures only and the shared ones are counted, so no type is paired with an interface it shares nothing with. Generic types are left out.
+    An interface meets only the types that have its rarest method, and those are checked for the rest, so a method that all types have makes no pairs. Generic types are left out.
     """
-    m = methods.where("NOT generic").select("repo", "owner", "is_interface", "signature").distinct()
+    m = keep(methods.where("NOT generic").select("repo", "owner", "is_interface", "signature").distinct(), "methods")
     i = m.where("is_interface").select("repo", F.col("owner").alias("dst"), "signature")
-    need = i.groupBy("repo", "dst").agg(F.count(F.lit(1)).alias("need"))
     t = m.where("NOT is_interface").select("repo", F.col("owner").alias("src"), "signature")
-    have = t.join(i, ["repo", "signature"]).groupBy("repo", "src", "dst").agg(F.count(F.lit(1)).alias("have"))
-    return have.join(need, ["repo", "dst"]).where("have = need AND src <> dst").select("repo", "src", "dst")
+    rare = i.join(t.groupBy("repo", "signature").agg(F.count(F.lit(1)).alias("types")), ["repo", "signature"], "left")
+    pick = rare.groupBy("repo", "dst").agg(F.count(F.lit(1)).alias("need"), F.min(F.struct(F.coalesce("types", F.lit(0)).alias("types"), "signature")).alias("r")).where("r.types > 0")
+    maybe = pick.select("repo", "dst", "need", F.col("r.signature").alias("signature")).join(t, ["repo", "signature"]).where("src <> dst").select("repo", "src", "dst", "need")
+    have = maybe.join(i, ["repo", "dst"]).join(t, ["repo", "src", "signature"], "left_semi").groupBy("repo", "src", "dst", "need").agg(F.count(F.lit(1)).alias("have"))
+    return have.where("have = need").select("repo", "src", "dst")
 
 
 def constructors(funcs: DataFrame, types: DataFrame) -> DataFrame:

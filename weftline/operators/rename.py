@@ -28,12 +28,25 @@ def reference_files(g: Graph, seeds: DataFrame) -> DataFrame:
     return own.select("repo", "id", "file").unionByName(used).unionByName(pack).where("file <> ''").distinct()
 
 
+def word_hits(files: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(hits, lines): hits (repo, id, file, pos) of lines of each (repo, id, file, name) that hold the name as a whole ASCII word; lines (repo, file, pos, text), from 0.
+
+    Lines are cut once per file, whatever the number of its symbols, and meet the names by their words. Names with other characters than words have are looked for in each line of their file.
+    """
+    own = files.select("repo", "id", "file", "name").distinct()
+    lines = sources.where("content IS NOT NULL").join(own.select("repo", "file").distinct(), ["repo", "file"], "left_semi").select("repo", "file", F.posexplode(F.split("content", "\n")).alias("pos", "text"))
+    plain = F.col("name").rlike("^[A-Za-z0-9_]+$")
+    words = lines.select("repo", "file", "pos", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0)))).alias("name"))
+    by_word = words.join(own.where(plain), ["repo", "file", "name"]).select("repo", "id", "file", "pos")
+    odd = F.expr(r"contains(text, name) AND rlike(text, concat('(?<![A-Za-z0-9_])\\Q', name, '\\E(?![A-Za-z0-9_])'))")
+    by_line = lines.join(own.where(~plain), ["repo", "file"]).where(odd).select("repo", "id", "file", "pos")
+    return by_word.unionByName(by_line).distinct(), lines
+
+
 def word_lines(files: DataFrame, sources: DataFrame) -> DataFrame:
-    """(repo, id, file, line, text) of lines of each (repo, id, file, name) that hold the name as a whole ASCII word. Lines count from 1."""
-    text = sources.where("content IS NOT NULL").groupBy("file").agg(F.min("content").alias("content"))
-    rows = files.join(text, "file").select("repo", "id", "name", "file", F.posexplode(F.split("content", "\n")).alias("pos", "text"))
-    hit = F.expr(r"contains(text, name) AND rlike(text, concat('(?<![A-Za-z0-9_])\\Q', name, '\\E(?![A-Za-z0-9_])'))")
-    return rows.where(hit).select("repo", "id", "file", (F.col("pos") + 1).alias("line"), "text")
+    """(repo, id, file, line, text) of the lines of word_hits. Lines count from 1; of several contents of a file each has its lines."""
+    hits, lines = word_hits(files, sources)
+    return hits.join(lines, ["repo", "file", "pos"]).select("repo", "id", "file", (F.col("pos") + 1).alias("line"), "text").distinct()
 
 
 def plan(g: Graph, sources: DataFrame, repo: str, id: str, new: str) -> DataFrame:

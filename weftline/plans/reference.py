@@ -255,7 +255,7 @@ query("rename_files", f"{FILES} SELECT DISTINCT repo, id, file FROM rf WHERE fil
 
 def own_lines(g: Graph, spark: SparkSession, d: str) -> DataFrame:
     files = g.nodes.where("file <> '' AND name <> ''").select("repo", "id", "name", "file")
-    return rename.word_lines(files, table(spark, d, "sources")).groupBy("repo", "id", "file").agg(F.count(F.lit(1)).alias("lines"))
+    return rename.word_hits(files, table(spark, d, "sources"))[0].groupBy("repo", "id", "file").agg(F.count(F.lit(1)).alias("lines"))
 
 
 query(
@@ -306,6 +306,9 @@ def tokens(g: Graph, spark: SparkSession, d: str) -> DataFrame:
 
 query("tokens", f"{G}, {TOKENS} SELECT repo, id, t AS token, count(*) AS n FROM w GROUP BY ALL")(tokens)
 query("bm25_topk", f"{BM25} SELECT repo, id, round(score, 6) AS score, rank FROM rk WHERE rank < 200")(lambda g, s, d: lexical(g, False).select("repo", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank")))
+query("bm25_index_topk", SQL["bm25_topk"])(
+    lambda g, s, d: search.top(search.index_scores(search.build_index(g.nodes, search.node_text(), False), QUERY).withColumn("score", F.round("score", 9)), ["repo", "id"], search.DEPTH).select("repo", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+)
 query("bm25_stem_topk")(lambda g, s, d: lexical(g, True).withColumn("score", F.round("score", 6)))
 query(
     "vector_topk",
