@@ -37,7 +37,7 @@ MOST_LISTS = 16_384
 AREA = 16
 """Lists per block, at most."""
 BLOCK, QUERIES = 65_536, 65_536
-PROBES, FEW_LISTS, SUB_PROBES = 16, 64, 8
+PROBES, FEW_LISTS, SUB_PROBES = 32, 64, 8
 """Lists that a query probes by rank. Up to FEW_LISTS lists the number holds; beyond, it grows with the fourth root of the number of lists. SUB_PROBES: of the parts of a long list."""
 DENSE = 0.85
 """A query also probes every list whose centre is so near: if all of a list are at least so near to a query, then so is their mean."""
@@ -201,12 +201,12 @@ def _blocks(held: dict[int, int], book: Codebook) -> tuple[np.ndarray, np.ndarra
     return first, many
 
 
-def _routed(coded: DataFrame, first: np.ndarray, many: np.ndarray) -> DataFrame:
-    """(id, vec, block, lists): each query once for every block that holds lists it probes, with those."""
+def _routed(coded: DataFrame, first: np.ndarray, many: np.ndarray, count: bool = False) -> DataFrame:
+    """(id, vec, block, lists): each query once for every block that holds lists it probes, with those. count: the blocks alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            probes = b.column(2)
+            probes = b.column(0)
             row = np.repeat(np.arange(b.num_rows), np.diff(probes.offsets.to_numpy()))
             x = probes.flatten().to_numpy()
             times = many[x]
@@ -215,11 +215,15 @@ def _routed(coded: DataFrame, first: np.ndarray, many: np.ndarray) -> DataFrame:
             order = np.lexsort((np.arange(len(x)), block, row))  # the order of the probes stays within a block
             row, x, block = row[order], x[order], block[order]
             heads = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (block[1:] != block[:-1])))) if len(row) else np.empty(0, np.int64)
+            blocks = pa.array(block[heads].astype(np.int32))
+            if count:
+                yield pa.RecordBatch.from_arrays([blocks], ["block"])
+                continue
             lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(x)).astype(np.int32)), pa.array(x.astype(np.int32)))
             who = pa.array(row[heads])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(who), b.column(1).take(who), pa.array(block[heads].astype(np.int32)), lists], ["id", "vec", "block", "lists"])
+            yield pa.RecordBatch.from_arrays([b.column(1).take(who), b.column(2).take(who), blocks, lists], ["id", "vec", "block", "lists"])
 
-    return coded.select("id", "vec", "probes").mapInArrow(run, "id string, vec binary, block int, lists array<int>")
+    return coded.select("probes", *[] if count else ["id", "vec"]).mapInArrow(run, "block int" if count else "id string, vec binary, block int, lists array<int>")
 
 
 def _decoded(d: np.ndarray, centre: np.ndarray, codes: np.ndarray, fine: np.ndarray) -> np.ndarray:
@@ -362,8 +366,8 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = -2.0, probes: int
     # there are at most MOST_LISTS rows of sizes
     held = {r.list: r.n for r in coded.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
     first, many = _blocks(held, book)
-    asks = keep(_routed(coded, first, many), "asks")
-    asked = {r.block: r.n for r in asks.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}
+    asks = _routed(coded, first, many)
+    asked = {r.block: r.n for r in _routed(coded, first, many, count=True).groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}
     where = F.broadcast(spark.createDataFrame([(x, int(first[x]), int(many[x])) for x in range(len(first))], "list int, first int, many int"))
     cuts = F.broadcast(spark.createDataFrame([(b, 1 + m // QUERIES) for b, m in asked.items()], "block int, qblocks int"))
     data = coded.join(where, "list").withColumn("block", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("many"))).cast("int")).join(cuts, "block")

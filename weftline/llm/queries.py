@@ -66,4 +66,8 @@ SQL: dict[str, str] = {
         p AS (SELECT a.id, b.id AS other, array_cosine_similarity(CAST(a.e AS DOUBLE[64]), CAST(b.e AS DOUBLE[64])) AS score FROM v a, v b WHERE a.id <> b.id),
         t AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, other) <= 5)
         SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM t WHERE score >= 0.85""",
+    "p6_neighbours": """
+        WITH v AS (SELECT DISTINCT id, CAST(embedding AS FLOAT[64]) AS e FROM vectors WHERE id IS NOT NULL AND len(embedding) = 64 AND (list_max(embedding) > 0 OR list_min(embedding) < 0)),
+        p AS (SELECT a.id, b.id AS other, array_cosine_similarity(CAST(a.e AS DOUBLE[64]), CAST(b.e AS DOUBLE[64])) AS score FROM v a, v b WHERE a.id <> b.id)
+        SELECT id, other, round(score, 4) AS score FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(score, 7) DESC, other) <= 5""",
 }
