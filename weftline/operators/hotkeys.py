@@ -47,6 +47,19 @@ def target_profile(edges: DataFrame) -> DataFrame:
     )
 
 
+def target_sources(edges: DataFrame) -> DataFrame:
+    """(dst, kind, n_sources, n_repos): how many different sources and repos each target has, exactly.
+
+    Rows are first cut to one per target, kind, source and repo, which no target can make hot as its sources tell its rows apart; what is left is counted like any rows. Null sources and repos don't count.
+    """
+    key = [F.col("dst"), clean_kind().alias("kind")]
+    one = edges.where("dst <> ''").groupBy(*key, "src", "repo").agg(F.lit(1).alias("x"))
+    by_source = one.groupBy("dst", "kind", "src").agg(F.lit(1).alias("x")).groupBy("dst", "kind").agg(F.count("src").alias("n_sources"))
+    by_repo = one.groupBy("dst", "kind", "repo").agg(F.lit(1).alias("x")).groupBy("dst", "kind").agg(F.count("repo").alias("n_repos"))
+    a, b = by_source, by_repo.withColumnsRenamed({"dst": "r_dst", "kind": "r_kind"})
+    return a.join(b, (F.col("dst") == F.col("r_dst")) & F.col("kind").eqNullSafe(F.col("r_kind"))).select("dst", "kind", "n_sources", "n_repos")
+
+
 def heavy_targets(edges: DataFrame, share: float = 0.02) -> DataFrame:
     """(dst, kind) with at least `share` of all delivered rows, rows that are no edges included in the total.
 

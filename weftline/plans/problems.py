@@ -20,6 +20,10 @@ def p1_targets(spark: SparkSession, d: str) -> DataFrame:
     return hotkeys.target_profile(table(spark, d, "edges")).select("dst", "kind", "n_rows", "n_edges", "first_at", "last_at")
 
 
+def p1_sources(spark: SparkSession, d: str) -> DataFrame:
+    return hotkeys.target_sources(table(spark, d, "edges"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.hierarchy(table(spark, d, "edges"), with_paths=False).select("repo", "id", "root")
 
@@ -87,12 +91,13 @@ old AS (SELECT s.repo, s.id, s.sig, s.line, c.snapshot_no FROM s JOIN c ON c.rep
 both_sides AS (SELECT snapshot_no, repo, id, CASE WHEN old.sig IS NULL THEN 'added' WHEN now.sig IS NULL THEN 'removed'
   WHEN now.sig <> old.sig OR now.line IS DISTINCT FROM old.line THEN 'changed' END AS change FROM now FULL JOIN old USING (snapshot_no, repo, id))"""
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_targets, p2_found, p2_hierarchy, p2_descendants, p2_loops, p3_found, p3_report, p3_standing, p3_reopened, p4_found, p4_counts)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_targets, p1_sources, p2_found, p2_hierarchy, p2_descendants, p2_loops, p3_found, p3_report, p3_standing, p3_reopened, p4_found, p4_counts)}
 
 SQL: dict[str, str] = {
     "p1_found": f"SELECT dst, {KIND} AS kind FROM edges WHERE dst <> '' GROUP BY ALL HAVING count(*) >= 0.02 * (SELECT count(*) FROM edges)",
     "p1_targets": f"""SELECT dst, {KIND} AS kind, count(*) AS n_rows, count(*) FILTER (WHERE src <> '' AND src <> dst) AS n_edges, min(indexed_at) AS first_at, max(indexed_at) AS last_at
         FROM edges WHERE dst <> '' GROUP BY dst, {KIND}""",
+    "p1_sources": f"SELECT dst, {KIND} AS kind, count(DISTINCT src) AS n_sources, count(DISTINCT repo) AS n_repos FROM edges WHERE dst <> '' GROUP BY dst, {KIND}",
     "p2_found": f"{TREE} SELECT repo, id, coalesce(down.root, '') AS root FROM ids LEFT JOIN down USING (repo, id)",
     "p2_hierarchy": f"""{TREE}, below AS (SELECT repo, id, count(*) AS size FROM (SELECT repo, unnest(string_split(path, chr(10))) AS id FROM down) GROUP BY ALL),
         looping(repo, id, start, n) AS (SELECT repo, id, id, 0 FROM ids WHERE NOT EXISTS (SELECT 1 FROM down d WHERE d.repo = ids.repo AND d.id = ids.id)

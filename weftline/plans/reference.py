@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.operators import changes, community, digest, extract, flow, frontend, groups, lookup, rename, search, shape, taint, traverse
@@ -125,7 +126,12 @@ query(
     x AS (SELECT n.repo, n.id, n.file, greatest(CASE WHEN line = 0 THEN 1 ELSE line - 3 END, 1) AS start_line, CASE WHEN line = 0 THEN 20 ELSE line + 20 END AS stop, string_split(content, chr(10)) AS ls FROM n JOIN f ON f.file = n.file WHERE starts_with(n.file, '/srv/index/' || n.repo || '/'))
     SELECT repo, id, file, CAST(start_line AS BIGINT) AS start_line, coalesce(array_to_string(ls[start_line:least(stop, len(ls))], chr(10)), '') AS code FROM x""",
 )(lambda g, s, d: lookup.source_slices(g, table(s, d, "sources"), g.nodes, 3, 20).select("repo", "id", "file", F.col("start_line").cast("bigint").alias("start_line"), "code"))
-query("explorer_tree")(lambda g, s, d: lookup.explorer_tree(g).withColumn("symbols", F.array_join("symbols", ",")))
+query(
+    "explorer_tree",
+    f"""{G}, f AS (SELECT repo, name, string_split(file, '/') AS parts, file FROM n WHERE file <> ''), b AS (SELECT repo, string_split(min(file), '/') AS lo, string_split(max(file), '/') AS hi FROM f GROUP BY repo),
+    k AS (SELECT repo, coalesce(list_max(list_filter(range(1, least(len(lo), len(hi))), lambda i: lo[1:i] = hi[1:i])), 0) AS skip FROM b), x AS (SELECT f.repo, f.name, parts[skip + 1:] AS rest FROM f JOIN k ON k.repo = f.repo)
+    SELECT repo, array_to_string(rest[1:len(rest) - 1], '/') AS dir, rest[len(rest)] AS file, string_agg(name, ',' ORDER BY name) AS symbols FROM x GROUP BY ALL""",
+)(lambda g, s, d: lookup.explorer_tree(g).withColumn("symbols", F.array_join("symbols", ",")))
 
 # --- traversal
 
@@ -247,6 +253,17 @@ query("detect_impacted", f"{SPANS}, up AS (SELECT repo, id FROM ch UNION SELECT
 )
 DIFF = ["diff --git a/x.go b/x.go", "--- a/x.go", "+++ b/x.go", "@@ -9,0 +10,3 @@ func a() {", "+one", "@@ -40,2 +41,0 @@", "--- a/old.go", "+++ /dev/null", "@@ -1,5 +0,0 @@", "--- a/y.ts", "+++ b/y.ts", "@@ -7 +7 @@", "+z"]
 query("diff_parse", "SELECT * FROM (VALUES ('x.go', 10, 12), ('x.go', 41, 41), ('y.ts', 7, 7)) t(file, lo, hi)")(lambda g, s, d: changes.parse_diff(s.createDataFrame(list(enumerate(DIFF)), "ord bigint, line string")))
+
+
+def written_diff(g: Graph) -> DataFrame:
+    """(repo, ord, line): a diff per repo that changes the three lines of each of `ranges`, file by file."""
+    r = ranges(g)
+    heads = r.select("repo", "file").distinct().select("repo", "file", F.lit(0).alias("lo"), F.concat(F.lit("+++ b/"), "file").alias("line"))
+    hunks = r.select("repo", "file", "lo", F.concat(F.lit("@@ -"), "lo", F.lit(" +"), "lo", F.lit(",3 @@ func")).alias("line"))
+    return heads.unionByName(hunks).select("repo", F.row_number().over(W.partitionBy("repo").orderBy("file", "lo")).alias("ord"), "line")
+
+
+query("diff_ranges", f"{G}, {RANGES} SELECT repo, file, CAST(lo AS INTEGER) AS lo, CAST(hi AS INTEGER) AS hi FROM g")(lambda g, s, d: changes.parse_diff(written_diff(g), ["repo"]))
 query("rename_confidence", f"{G} SELECT repo, id, round(1.0 / count(*) OVER (PARTITION BY repo, name), 6) AS confidence FROM n")(lambda g, s, d: rename.confidence(g).withColumn("confidence", F.round("confidence", 6)))
 FILES = f"""{G}, {SEED}, rf AS (SELECT n.repo, n.id, n.file FROM n JOIN s ON s.repo = n.repo AND s.id = n.id UNION SELECT e.repo, s.id, n.file FROM e JOIN s ON s.repo = e.repo AND s.id = e.dst JOIN n ON n.repo = e.repo AND n.id = e.src
     UNION SELECT a.repo, a.id, b.file FROM n a JOIN s ON s.repo = a.repo AND s.id = a.id JOIN n b ON b.repo = a.repo AND b.package = a.package WHERE a.kind IN ('type', 'interface', 'class'))"""
@@ -365,6 +382,19 @@ query(
 )(lambda g, s, d: (lambda p: taint.pdg_of(p, p).select("repo", "id", F.size("ctrl_edges").cast("bigint").alias("n_ctrl"), "data_edges", "blocks", F.array_join("params", ",").alias("params")))(taint.pdgs(s, d)))
 
 
+def control(spark: SparkSession, d: str) -> DataFrame:
+    """(func, from, to): the block pairs of the first summary of each function, one row each."""
+    p = taint.pdgs(spark, d)
+    return taint.pdg_of(p, p).select(F.concat_ws("/", "repo", "id").alias("func"), F.explode("ctrl_edges").alias("e")).select("func", F.col("e.src").alias("from"), F.col("e.dst").alias("to"))
+
+
+FIRST_PDG = "p AS (SELECT repo || '/' || id AS func, arg_min(ctrl_edges, ord) AS ctrl FROM func_pdgs WHERE id <> '' GROUP BY repo, id), ce AS (SELECT func, unnest(ctrl) AS x FROM p)"
+query(
+    "cfg_edges", f"WITH {FIRST_PDG} SELECT func, array_to_string(list_transform(list_sort(list(DISTINCT [x.src, x.dst])), lambda y: y[1] || '>' || y[2]), ',') AS edges FROM ce GROUP BY func"
+)(lambda g, s, d: taint.control_edges(control(s, d)).select("func", F.array_join(F.transform("ctrl_edges", lambda e: F.concat_ws(">", e["src"].cast("string"), e["dst"].cast("string"))), ",").alias("edges")))
+query("def_use_counts", f"WITH {FIRST_PDG} SELECT func, count(*) AS data_edges FROM ce GROUP BY func")(lambda g, s, d: taint.data_edge_counts(control(s, d).select("func", F.col("from").alias("def"), F.col("to").alias("use"))))
+
+
 def flows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Calls, uses and arguments read out of the stored summaries: block i of a function calls the i-th name of a fixed round of sources, sinks and others, and control edges pass values on."""
     p = taint.pdgs(spark, d).dropDuplicates(["repo", "id"]).select(F.concat_ws("/", "repo", "id").alias("func"), "blocks", "ctrl_edges")

@@ -9,6 +9,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -67,4 +69,14 @@ def forget(upto: int = 0) -> None:
             pass
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """Deletes at its end the tables written in it: for long sessions, around questions whose results have been written or collected."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        forget(before)
+
+
 atexit.register(forget)
