@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftline.operators.graph import Graph
 from weftline.operators.traverse import first_root, impact, reach_counts, reached
 from weftline.schema import CALLABLE
+from weftline.sources.scratch import keep
 
 
 def entry_points(g: Graph) -> DataFrame:
@@ -21,7 +22,7 @@ def entry_points(g: Graph) -> DataFrame:
 def flow_nodes(g: Graph, roots: DataFrame) -> DataFrame:
     """(repo, root, id): the symbols of the graph in the flow of each (repo, id) of roots, the root included if it is one."""
     seeds = roots.select("repo", F.col("id").alias("root"), "id")
-    return reached(g.calls(), seeds).join(g.nodes.select("repo", "id"), ["repo", "id"], "left_semi").select("repo", "root", "id")
+    return keep(reached(g.calls(), seeds).join(g.nodes.select("repo", "id"), ["repo", "id"], "left_semi").select("repo", "root", "id"), "flow")
 
 
 def flow_edges(g: Graph, flow: DataFrame) -> DataFrame:

@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.graph import Graph
-from weftline.operators.hotkeys import salted
-from weftline.sources.scratch import keep
 from weftline.schema import CALLABLE, EXTERNAL_EDGES
+from weftline.sources.scratch import keep
 
 
 def context(g: Graph, seeds: DataFrame) -> DataFrame:
@@ -87,13 +86,16 @@ def missing_ids(g: Graph, asked: DataFrame) -> DataFrame:
 
 
 def dangling(g: Graph) -> DataFrame:
-    """(repo, ord, src, dst, kind): edges with an end outside the graph, but for kinds that may end there. Calls of external functions count."""
+    """(repo, ord, src, dst, kind): edges with an end outside the graph, but for kinds that may end there. Calls of external functions count.
+
+    Ends are looked up once each, however many edges they have; the edges then meet only the ends that are missing.
+    """
     e = g.edges.where(~F.col("kind").isin(*EXTERNAL_EDGES))
+    ends = e.select("repo", F.explode(F.array("src", "dst")).alias("id")).distinct()
+    lost = keep(ends.join(g.nodes.select("repo", "id"), ["repo", "id"], "left_anti"), "lost")
     for end in ("src", "dst"):
-        known = g.nodes.select("repo", F.col("id").alias(end), F.lit(True).alias(f"has_{end}"))
-        x, y = salted(e, known, ["repo", end], F.col("ord"))
-        e = x.join(y, ["repo", end, "salt"], "left").drop("salt")
-    return e.where("has_src IS NULL OR has_dst IS NULL").select("repo", "ord", "src", "dst", "kind")
+        e = e.join(lost.select("repo", F.col("id").alias(end), F.lit(True).alias(f"no_{end}")), ["repo", end], "left")
+    return e.where("no_src OR no_dst").select("repo", "ord", "src", "dst", "kind")
 
 
 _PATTERN = re.compile(r"^\s*\(\s*\w*\s*(?::\s*(\w+))?\s*\)\s*-\s*\[\s*\w*\s*(?::\s*(\w+))?\s*\]\s*->\s*\(\s*\w*\s*(?::\s*(\w+))?\s*\)\s*$")

@@ -34,13 +34,14 @@ def word_hits(files: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFram
     Lines are cut once per file, whatever the number of its symbols, and meet the names by their words. Names with other characters than words have are looked for in each line of their file.
     """
     own = files.select("repo", "id", "file", "name").distinct()
-    lines = sources.where("content IS NOT NULL").join(own.select("repo", "file").distinct(), ["repo", "file"], "left_semi").select("repo", "file", F.posexplode(F.split("content", "\n")).alias("pos", "text"))
+    lines = sources.where("content IS NOT NULL").select("repo", "file", F.posexplode(F.split("content", "\n")).alias("pos", "text"))
     plain = F.col("name").rlike("^[A-Za-z0-9_]+$")
     words = lines.select("repo", "file", "pos", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0)))).alias("name"))
-    by_word = words.join(own.where(plain), ["repo", "file", "name"]).select("repo", "id", "file", "pos")
-    odd = F.expr(r"contains(text, name) AND rlike(text, concat('(?<![A-Za-z0-9_])\\Q', name, '\\E(?![A-Za-z0-9_])'))")
-    by_line = lines.join(own.where(~plain), ["repo", "file"]).where(odd).select("repo", "id", "file", "pos")
-    return by_word.unionByName(by_line).distinct(), lines
+    hits = words.join(own.where(plain), ["repo", "file", "name"]).select("repo", "id", "file", "pos")
+    if own.where(~plain).take(1):
+        odd = F.expr(r"contains(text, name) AND rlike(text, concat('(?<![A-Za-z0-9_])\\Q', name, '\\E(?![A-Za-z0-9_])'))")
+        hits = hits.unionByName(lines.join(own.where(~plain), ["repo", "file"]).where(odd).select("repo", "id", "file", "pos"))
+    return hits.distinct(), lines
 
 
 def word_lines(files: DataFrame, sources: DataFrame) -> DataFrame:

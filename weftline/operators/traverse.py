@@ -77,7 +77,7 @@ def reached(links: DataFrame, seeds: DataFrame, reverse: bool = False, most: int
     """
     small, big = _parts(_ends(links), bound)
     own, other = _seeded(seeds.select("repo", "root", "id").distinct(), big)
-    got = keep(intask.closure(small, own.where(_WHOLE), reverse, most), "closure")
+    got = intask.closure(small, own.where(_WHOLE), reverse, most)
     return got if big is None else got.unionByName(closure(big, other, reverse, most))
 
 
@@ -88,7 +88,7 @@ def reach_counts(links: DataFrame, seeds: DataFrame, counted: DataFrame | None =
     """
     small, big = _parts(_ends(links), bound)
     own, other = _seeded(seeds.select("repo", "root", "id").distinct(), big)
-    got = keep(intask.reach(small, own.where(_WHOLE), counted, reverse), "reach")
+    got = intask.reach(small, own.where(_WHOLE), counted, reverse)
     if big is None:
         return got
     other = keep(other, "roots")
@@ -214,7 +214,7 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: i
     once, those that touch an id fewer than `depth` steps away.
     """
     both = edges.select("repo", "src", "dst").unionByName(edges.select("repo", F.col("dst").alias("src"), F.col("src").alias("dst")))
-    near = reached(both, seeds, most=depth)
+    near = keep(reached(both, seeds, most=depth), "near")
     inner = near.where(F.col("depth") < depth).select("repo", "root", F.col("id").alias("end"))
     e = edges.select("repo", "src", "dst", "kind").distinct()
     touch = e.withColumn("end", F.explode(F.array("src", "dst"))).join(inner, ["repo", "end"]).select("repo", "root", "src", "dst", "kind").distinct()
