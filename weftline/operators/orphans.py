@@ -13,6 +13,7 @@ where they are more than one should take, by what the slice holds of each key; e
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
@@ -22,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.operators.edges import clean_kind, is_edge
-from weftline.operators.hotkeys import salted
+from weftline.operators.hotkeys import TASK_ROWS, salted
 from weftline.sources.scratch import counted, keep, place
 
 TABS = ("edges", "routes", "func_pdgs")
@@ -70,11 +71,16 @@ class Slices:
     n: dict[int, int]
 
 
+_FOLDER = "((?:index|orphans)-[0-9a-f]{32}/.*bucket=[0-9]+)/"
+"""What tells a bucket's folder from others, however the file system writes what is before it."""
+
+
 @dataclass
 class State:
-    """index, waiting: bucket -> folder. resolved: folders. held: bucket -> table -> references that stand orphaned. waits: table -> references that wait.
+    """index, waiting: bucket -> folder. resolved: folders.
 
-    at: the type of times. hot: keys whose references are dealt to several tasks, if they are known; else each slice counts its own.
+    at: the type of times. hot: keys whose references are dealt to several tasks, if they are known; else each slice counts its own. seen: references so far.
+    told: what was counted of a folder, which never changes.
     """
 
     spark: SparkSession
@@ -84,12 +90,27 @@ class State:
     index: dict[int, str] = field(default_factory=dict)
     waiting: dict[int, str] = field(default_factory=dict)
     resolved: list[str] = field(default_factory=list)
-    held: dict[int, dict[str, int]] = field(default_factory=dict)
-    waits: dict[str, int] = field(default_factory=lambda: dict.fromkeys(TABS, 0))
+    seen: int = 0
+    told: dict[str, dict[str, int]] = field(default_factory=dict)
 
     def standing(self) -> dict[str, int]:
-        """Table -> references delivered so far whose record isn't alive now; those without a time are not among them."""
-        return {t: sum(h[t] for h in self.held.values()) for t in TABS}
+        """Table -> references delivered so far whose record isn't alive now; those without a time are not among them. Only folders that changed since the last count are read."""
+        dead = [F.sum(F.when(F.col("living") <= 0, F.col(t)).otherwise(0)).alias(t) for t in TABS]
+        return self._counted(list(self.index.values()), _INDEX, lambda df: df.groupBy("_at").agg(*dead))
+
+    @property
+    def waits(self) -> dict[str, int]:
+        """Table -> references that wait for a first record, those without a time not among them."""
+        one = [F.count_if((F.col("tab") == t) & F.col("at").isNotNull()).alias(t) for t in TABS]
+        return self._counted(list(self.waiting.values()), _ORPHANS.format(at=self.at), lambda df: df.groupBy("_at").agg(*one))
+
+    def _counted(self, paths: list[str], schema: str, count: Callable[[DataFrame], DataFrame]) -> dict[str, int]:
+        new = [p for p in paths if p not in self.told]
+        if new:
+            name = F.regexp_extract(F.input_file_name(), _FOLDER, 1)
+            got = {r["_at"]: {t: r[t] for t in TABS} for r in count(_read(self.spark, schema, new).withColumn("_at", name)).collect()}  # a row per folder
+            self.told.update({p: got.get(re.search(_FOLDER, p + "/")[1], dict.fromkeys(TABS, 0)) for p in new})
+        return {t: sum(self.told[p][t] for p in paths) for t in TABS}
 
     @property
     def orphans(self) -> DataFrame:
@@ -176,7 +197,7 @@ def _step(state: State, slices: Slices, i: int) -> State:
     if not touched:
         return state
     at, n = state.at, slices.n.get(i, 0)
-    cutof = lambda path, schema: _read(spark, schema.format(at=at), [f"{path}/slice={i}"] if _there(spark, f"{path}/slice={i}") else [])
+    cutof = lambda path, schema: _read(spark, schema.format(at=at), [f"{path}/slice={i}"] if _names(spark, f"{path}/slice={i}") else [])
     refs, changes = cutof(slices.refs, _REFS), cutof(slices.events, _EVENTS)
     old = _read(spark, _INDEX, [state.index[b] for b in touched if b in state.index])
     probed = keep(_probe(refs, old.where("living <> 0").select("repo", "id", "living"), changes, n, state.hot), "probed")
@@ -187,35 +208,27 @@ def _step(state: State, slices: Slices, i: int) -> State:
     new = new.groupBy("repo", "id").agg(*(F.sum(c).alias(c) for c in ("living", *TABS))).unionByName(old)
     new = new.withColumn("bucket", _bucket(slices.buckets)).repartition("bucket").groupBy("bucket", "repo", "id").agg(*(F.sum(c).alias(c) for c in ("living", *TABS)))
     base = place(spark, "index")
-    counted(new, base, by="bucket")
+    new.write.partitionBy("bucket").parquet(base)
     index = state.index | {b: f"{base}/bucket={b}" for b in touched}
-    dead = _read(spark, _INDEX + ", bucket int", [base]).groupBy("bucket").agg(*(F.sum(F.when(F.col("living") <= 0, F.col(t)).otherwise(0)).alias(t) for t in TABS)).collect()
-    held = state.held | {r.bucket: {t: r[t] for t in TABS} for r in dead}
     # who waits
     lost = probed.where("lost").select("tab", "repo", "ord", "id", "at")
-    waited = [state.waiting[b] for b in touched if b in state.waiting]
-    before = _read(spark, _ORPHANS.format(at=at), waited)
+    before = _read(spark, _ORPHANS.format(at=at), [state.waiting[b] for b in touched if b in state.waiting])
     base = place(spark, "orphans")
-    told = _resolve(lost.unionByName(before.select("tab", "repo", "ord", "id", "at")), changes, lost.count() + before.count(), state.hot)
-    told = told.withColumns({"done": F.col("resolved_at").isNotNull(), "bucket": _bucket(slices.buckets)})
-    told.write.partitionBy("done", "bucket").parquet(base)
-    got = _read(spark, _ORPHANS.format(at=at) + ", done boolean, bucket int", [base])
-    left = got.groupBy("done", "bucket", "tab").agg(F.count(F.lit(1)).alias("n"), F.count("at").alias("dated")).collect()  # twice buckets x tables
-    gone = before.where("at IS NOT NULL").groupBy("tab").agg(F.count(F.lit(1)).alias("n")).collect() if waited else []
-    waits = dict(state.waits)
-    for r in gone:
-        waits[r.tab] -= r.n
-    for r in left:
-        waits[r.tab] += 0 if r.done else r.dated
-    waiting = {b: p for b, p in state.waiting.items() if b not in touched} | {r.bucket: f"{base}/done=false/bucket={r.bucket}" for r in left if not r.done}
-    resolved = state.resolved + [f"{base}/done=true/bucket={b}" for b in sorted({r.bucket for r in left if r.done})]
-    return State(spark, state.buckets, at, state.hot, index, waiting, resolved, held, waits)
-
-
-def _there(spark: SparkSession, path: str) -> bool:
+    seen = state.seen + n
+    n_wait = seen if seen <= TASK_ROWS else lost.count() + before.count()
+    told = _resolve(lost.unionByName(before.select("tab", "repo", "ord", "id", "at")), changes, n_wait, state.hot)
+    told.withColumns({"done": F.col("resolved_at").isNotNull(), "bucket": _bucket(slices.buckets)}).write.partitionBy("done", "bucket").parquet(base)
+    left = {done: [f"{base}/done={done}/{x}" for x in _names(spark, f"{base}/done={done}") if x.startswith("bucket=")] for done in ("true", "false")}
+    waiting = {b: p for b, p in state.waiting.items() if b not in touched} | {int(p.rsplit("=", 1)[1]): p for p in left["false"]}
+    return State(spark, state.buckets, at, state.hot, index, waiting, state.resolved + left["true"], seen, state.told)
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    """What a folder holds; nothing if it isn't there."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
 
 
 def _run(edges: DataFrame, nodes: DataFrame, routes: DataFrame, func_pdgs: DataFrame, cuts: list[datetime], after: Callable[[int, State], None] | None = None) -> State:
@@ -256,8 +269,8 @@ def _monthly(edges: DataFrame, nodes: DataFrame, routes: DataFrame, func_pdgs: D
 
         def count(i: int, state: State) -> None:
             if i < len(months):
-                stand = state.standing()
-                rows.extend((t, "{:04d}-{:02d}".format(months[i][0], months[i][1] + 1), stand[t], stand[t] - state.waits[t]) for t in TABS if stand[t])
+                stand, waits = state.standing(), state.waits
+                rows.extend((t, "{:04d}-{:02d}".format(months[i][0], months[i][1] + 1), stand[t], stand[t] - waits[t]) for t in TABS if stand[t])
 
         _run(edges, nodes, routes, func_pdgs, cuts, count)
     return rows
