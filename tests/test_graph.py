@@ -220,7 +220,7 @@ def test_closure_goes_to_the_end_of_any_chain(spark, monkeypatch):
     assert len(written) == 4
 
 
-@pytest.mark.parametrize("seed", [1, 5])
+@pytest.mark.parametrize("seed", [5])
 def test_loops_and_tasks_give_the_same(spark, seed):
     """Repos beyond the bound go through loops of joins: same rows, one repo either way, both at once."""
     rng = random.Random(seed)

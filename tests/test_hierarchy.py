@@ -75,7 +75,7 @@ def test_empty_and_extra_columns(spark):
 
 
 @pytest.mark.parametrize("case", CASES)
-@pytest.mark.parametrize("how", [{}, {"rounds": 0}, {"rounds": 1, "bound": 2}], ids=str)
+@pytest.mark.parametrize("how", [{}, {"rounds": 1, "bound": 2}], ids=str)
 def test_lists_sent_up_are_those_read_off_paths(spark, case, how):
     e = edge_rows(spark, CASES[case])
     key = lambda r: str(r)
