@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.functions.text import cache_key, slug
 from weftline.operators import changes, community, digest, extract, flow, frontend, groups, lookup, rename, search, shape, taint, traverse
 from weftline.operators.graph import Graph, kept, load
 from weftline.sources.store import fingerprint, stale
@@ -212,6 +213,21 @@ query(
     f"""{G}, x AS (SELECT e.repo, least(src, dst) AS a, greatest(src, dst) AS b FROM e JOIN n p ON p.repo = e.repo AND p.id = e.src JOIN n q ON q.repo = e.repo AND q.id = e.dst WHERE e.kind IN ('calls', 'implements'))
     SELECT repo, a, b, count(*) AS w FROM x GROUP BY ALL""",
 )(lambda g, s, d: community.weighted(g))
+
+
+def by_package(g: Graph) -> DataFrame:
+    """(repo, id, community, approximate): every symbol in the community of its package."""
+    return g.nodes.where("package <> ''").select("repo", "id", F.col("package").alias("community"), F.lit(False).alias("approximate"))
+
+
+query(
+    "package_cohesion",
+    f"""{G}, o AS (SELECT repo, id, package FROM n WHERE package <> ''), x AS (SELECT e.repo, p.package AS ca, q.package AS cb FROM e JOIN o p ON p.repo = e.repo AND p.id = e.src JOIN o q ON q.repo = e.repo AND q.id = e.dst WHERE e.kind IN ('calls', 'implements')),
+    y AS (SELECT repo, ca AS community, ca = cb AS inside FROM x UNION ALL SELECT repo, cb, ca = cb FROM x), t AS (SELECT repo, community, count(*) FILTER (WHERE inside) / count(*) AS cohesion FROM y GROUP BY ALL), z AS (SELECT repo, package AS community, count(*) AS size FROM o GROUP BY ALL HAVING count(*) > 1)
+    SELECT repo, community, list_last(string_split(community, '/')) AS name, size, round(cohesion, 6) AS cohesion FROM z JOIN t USING (repo, community)""",
+)(lambda g, s, d: community.described(g, community.weighted(g), by_package(g))[1].select("repo", "community", "name", "size", F.round("cohesion", 6).alias("cohesion")))
+query("package_slugs", f"{G} SELECT repo, id, trim(regexp_replace(lower(package), '[^a-z0-9]', '-', 'g'), '-') AS slug FROM n WHERE package <> ''")(lambda g, s, d: g.nodes.where("package <> ''").select("repo", "id", slug(F.col("package")).alias("slug")))
+query("repo_keys", f"{G} SELECT DISTINCT repo, substr(sha256('/srv/index/' || repo), 1, 12) AS key FROM n")(lambda g, s, d: g.nodes.select("repo").distinct().select("repo", cache_key(F.concat(F.lit(lookup.ROOTS), "repo")).alias("key")))
 query("area_notes")(lambda g, s, d: digest.area_notes(kept(g)).withColumn("members", F.array_join("members", ",")))
 
 # --- contracts
@@ -442,6 +458,34 @@ query(
         g.nodes.where("kind = 'func'").select("repo", "id", "name", "package", F.lit("").alias("receiver"), F.concat(F.lit("*"), F.expr("substring(name, 4)")).alias("result")), g.nodes.where("kind IN ('type', 'class')").select("repo", "id", "name", "package")
     )
 )
+
+
+def router_calls(g: Graph) -> DataFrame:
+    """(repo, ord, name, args): each route as the router call that would register it."""
+    return g.routes.select("repo", "ord", F.col("method").alias("name"), F.array(F.concat(F.lit('"'), "path", F.lit('"')), "handler").alias("args"))
+
+
+METHODS = ", ".join(f"('{k}', '{v}')" for k, v in extract.ROUTE_METHODS.items())
+query(
+    "routes_derived",
+    f"{G}, m(name, method) AS (VALUES {METHODS}) SELECT repo, ord, m.method, path, CASE WHEN EXISTS (SELECT 1 FROM n WHERE n.repo = r.repo AND n.id = r.handler AND n.kind IN ('func', 'method')) THEN handler ELSE '' END AS handler FROM r JOIN m ON m.name = r.method WHERE starts_with(path, '/')",
+)(lambda g, s, d: extract.routes(router_calls(g), g.nodes.where("kind IN ('func', 'method')").select("repo", "id", F.col("id").alias("name"))))
+SUFFIXES = ", ".join(f"({i}, '{x}')" for i, x in enumerate(extract.IMPORT_SUFFIXES))
+query(
+    "imports_resolved",
+    rf"""{G}, f AS (SELECT DISTINCT repo, file FROM n WHERE regexp_matches(file, '\.(ts|tsx|js|jsx|vue)$')), k(rank, suffix) AS (VALUES {SUFFIXES}),
+    ci AS (SELECT repo, file, './' || regexp_replace(regexp_extract(file, '[^/]*$'), '\.[a-z]+$', '') AS spec, regexp_extract(file, '^(.*)/[^/]*$', 1) || '/' || regexp_replace(regexp_extract(file, '[^/]*$'), '\.[a-z]+$', '') AS path FROM f)
+    SELECT ci.repo, ci.file, spec, arg_min(f.file, rank) AS target FROM ci JOIN k ON true JOIN f ON f.repo = ci.repo AND f.file = ci.path || k.suffix GROUP BY ALL""",
+)(lambda g, s, d: (lambda f: extract.resolve_imports(f.select("repo", "file", F.concat(F.lit("./"), F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.[a-z]+$", "")).alias("spec")), f))(g.nodes.where(F.col("file").rlike(r"\.(ts|tsx|js|jsx|vue)$")).select("repo", "file").distinct()))
+query(
+    "calls_resolved",
+    f"{G}, d AS (SELECT repo, name, min(id) AS dst FROM n WHERE name <> '' GROUP BY ALL) SELECT e.repo, e.ord, e.src, d.dst FROM e JOIN n ON n.repo = e.repo AND n.id = e.dst JOIN d ON d.repo = n.repo AND d.name = n.name WHERE e.kind = 'calls' AND e.src <> d.dst",
+)(
+    lambda g, s, d: extract.resolve_calls(
+        g.kind("calls").join(g.nodes.where("name <> ''").select("repo", F.col("id").alias("dst"), F.col("name").alias("decl")), ["repo", "dst"]).select("repo", "ord", "src", "decl"),
+        g.nodes.where("name <> ''").select("repo", F.col("id").alias("ord"), F.col("name").alias("decl"), "id"),
+    )
+)
 query(
     "fingerprints",
     """SELECT repo, lang, sha256(string_agg(file || chr(0) || CAST(n AS VARCHAR) || chr(0) || '0' || chr(10), '' ORDER BY file)) AS fingerprint FROM (SELECT DISTINCT repo, coalesce(lang, '') AS lang, file, length(coalesce(content, '')) AS n FROM sources) GROUP BY repo, lang""",
